@@ -17,5 +17,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.substrings import repeats_report
+
+    return repeats_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
