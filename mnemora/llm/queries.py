@@ -23,5 +23,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.quality import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
