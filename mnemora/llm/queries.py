@@ -29,5 +29,23 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier)}
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op7_best_fit_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
