@@ -29,6 +29,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.decontamination import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -47,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op7_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op7_best_fit_packing, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
