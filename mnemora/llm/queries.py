@@ -35,6 +35,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.toxicity import toxicity_report
+
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -47,11 +53,25 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.chat import PROBE, as_events, digests, format_conversations
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(as_events(rows.unionByName(probe))))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.llm.token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op7_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {}

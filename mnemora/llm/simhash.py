@@ -76,7 +76,8 @@ def table_keys(fp: str, radius: int, blocks: int = BLOCKS) -> list:
 
 
 def in_parts(members: DataFrame, keys: list[str], member: str, cap: int) -> DataFrame:
-    """members with (a, b): pairs of parts, so that all members of a key meet and no (key, a, b) has much over 2 * cap.
+    """members with own, their part, and (a, b), a pair of parts that has it: all members of a key meet, and no (key, a, b)
+    has much over 2 * cap of them.
 
     A key of at most cap members has the one pair (0, 0). Counts are pre-aggregated; only
     the keys over cap are joined back.
@@ -85,7 +86,7 @@ def in_parts(members: DataFrame, keys: list[str], member: str, cap: int) -> Data
     dealt = members.join(full, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("parts", "own", "other")
+    return dealt.withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other")).drop("parts", "other")
 
 
 def links(distinct_fps: DataFrame, radius: int = 2, cap: int = 4096, blocks: int = BLOCKS) -> DataFrame:
