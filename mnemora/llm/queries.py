@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.licenses import documents_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.licenses import documents_as_files, licence_scan
+
+    return licence_scan(documents_as_files(table(spark, sf_dir, "documents")))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemora.llm.simhash import near_duplicates
 
@@ -73,5 +81,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": documents_sql()}
