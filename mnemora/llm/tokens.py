@@ -100,6 +100,9 @@ def _byte_of_char() -> dict[str, int]:
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 """Fixed value: the tokenizer's own split, for the `regex` module."""
 
+_unsure = re.compile("[^\x00-\u052f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+"""Characters that versions of Unicode may class differently: runs with any are not split here."""
+
 
 class Counter:
     """Tokens of each text: proven pre-tokens count one, only the rest is merged."""
@@ -115,7 +118,7 @@ class Counter:
     def _of_runs(self, runs: list[str]) -> list[int]:
         """A run's count is the sum over its pre-tokens. Each pre-token that is not proven is merged once."""
         normal = self.tokenizer.normalizer.normalize_str
-        parts = [self.split(r.lower() if r.isascii() else normal(r)) for r in runs]
+        parts = [self.split(r.lower() if r.isascii() else normal(r)) if not _unsure.search(r) else [r] for r in runs]
         new = list({p for x in parts for p in x if p not in self.whole and p not in self.merged})
         if len(self.merged) + len(new) > MEMO:
             self.merged = {}
