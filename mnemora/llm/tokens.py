@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-MEMO = 400_000
+MEMO = 800_000
 """Most entries of a worker's memo; it starts anew beyond them."""
 
 _odd = re.compile("[\x1c-\x1f]")
@@ -44,27 +44,67 @@ def _split(text: str, specials: list[str]) -> list[str] | None:
     return text.split()
 
 
+class Memo:
+    """A bounded memo of two generations: what was used since the last turn outlives the next one."""
+
+    def __init__(self, most: int = MEMO):
+        self.young: dict = {}
+        self.old: dict = {}
+        self.most = most
+
+    def turn(self) -> None:
+        """Called between batches: the old generation goes once the young one has half of the entries."""
+        if len(self.young) > self.most // 2:
+            self.young, self.old = {}, self.young
+
+    def missing(self, keys: set) -> list:
+        """Keys that neither generation holds; what the old one holds moves to the young one."""
+        out = []
+        for k in keys - self.young.keys():
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self.young[k] = v
+        return out
+
+
 class IdEncoder:
-    """bytes of little-endian unsigned 32-bit ids of each text."""
+    """bytes of little-endian unsigned 32-bit ids of each text.
+
+    New runs go to the library as one text with a special string between any two; the library splits texts there before
+    anything else, so the ids between two special ids are a run's own. Where their number is not that of the
+    runs (a run that begins with a combining mark), each run is encoded alone.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = load(path), {}
+        self.tokenizer, self.memo = load(path), Memo()
         self.specials = _specials(self.tokenizer)
+        self.between = self.specials[-1] if self.specials else None
+        self.mark = self.tokenizer.token_to_id(self.between) if self.specials else -1
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, runs: list[str]) -> list[bytes]:
+        if self.between is None:
+            return self._alone(runs)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(runs) - 1:
+            return self._alone(runs)
+        data, ends = ids.tobytes(), (4 * np.append(marks, len(ids))).tolist()
+        return [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        self.memo.turn()
         runs = [_split(t or "", self.specials) for t in texts]
-        new = list({r for x in runs if x for r in x if r not in self.memo})
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = list({r for x in runs if x for r in x})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.memo.update(zip(part, self._ids(part)))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) if x is not None else self._ids([t])[0] for x, t in zip(runs, texts)]
+        new = self.memo.missing({r for x in runs if x for r in x})
+        for i in range(0, len(new), 2048):
+            some = new[i : i + 2048]
+            self.memo.young.update(zip(some, self._ids(some)))
+        get = self.memo.young.__getitem__
+        return [b"".join(map(get, x)) if x is not None else self._alone([t])[0] for x, t in zip(runs, texts)]
 
 
 def proven_whole(path: str, ends: str = "</w>") -> list[str]:
