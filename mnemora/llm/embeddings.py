@@ -1,14 +1,17 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
 A vector is described by its PREFIX nearest pivots, in order of nearness. Two vectors are candidates if
-they share at least SHARED of them. An inverted list for each (label, pivot) holds the vectors; since
+they share at least SHARED of them or have the same nearest one. An inverted list for each (label, pivot) holds the vectors; since
 two sets of PREFIX that share SHARED must share one of their first PREFIX - SHARED + 1 by any fixed
-order, only those are listed. A list counts the shared pivots of its pairs on bit masks, then verifies
+order, only those and the nearest one are listed. A list counts the shared pivots of its pairs on bit masks, then verifies
 the candidates' cosine in double precision. A pair is judged only in the first list that has both, so
 each link counts once. Lists over `cap` are dealt into pairs of parts; tasks return a
 count and a root for each vector, never pairs. Equal vectors are one node with a multiplicity.
 
-Pivots are a sample of PIVOTS distinct vectors, in the order of a hash; every vector is indexed.
+Pivots are up to PIVOTS of SEEN distinct vectors, in the order of a hash, no two with a cosine of APART or more:
+a dense cluster gets one pivot, so all its pairs are candidates, and the other pivots still tell
+its members from the rest. Pivots from inside it would be nearly equidistant, and their order chance.
+Every vector is indexed.
 
 Edge cases: a null label, or a vector that is null, zero, or has null or non-finite components, links with
 nothing; vectors of different length never link; repeated rows link with one another. A
@@ -27,6 +30,8 @@ from mnemora.llm.shared import cut, only
 from mnemora.llm.simhash import in_parts
 
 PIVOTS = 256
+SEEN = 2048
+APART = 0.5
 PREFIX = 8
 SHARED = 3
 CAP = 2048
@@ -37,6 +42,18 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _apart(rows: list, most: int, apart: float = APART) -> np.ndarray:
+    """The unit vectors of the first rows that are far from all chosen before them."""
+    x = _unit(rows)
+    free = np.ones(len(x), dtype=bool)
+    out = []
+    for i in range(len(x)):
+        if free[i] and len(out) < most:
+            out.append(i)
+            free &= x @ x[i] < apart
+    return x[out]
+
+
 def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row of each row's component under the links (i, j)."""
     root = np.arange(n)
@@ -69,11 +86,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
     same = ["label", "embedding"]
     nodes = rows.where("__ok").groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("times"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(pivots).collect()
+    chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(max(SEEN, pivots)).collect()
     points: dict[int, np.ndarray] = {}  # by length of vector
     for r in chosen:
         points.setdefault(len(r.embedding), []).append(r.embedding)
-    points = {n: _unit(x) for n, x in points.items()}
+    points = {n: _apart(x, pivots) for n, x in points.items()}
     listed = prefix - shared + 1
 
     def describe(batches):
@@ -88,7 +105,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], [*batch.schema.names, "near"])
 
     described = nodes.select("node", "label", "times", "embedding").mapInArrow(describe, f"node long, label {dict(rows.dtypes)['label']}, times long, embedding array<double>, near array<long>")
-    by_pivot = F.slice(F.array_sort(F.filter("near", lambda x: x >= 0)), 1, listed)
+    real = F.filter("near", lambda x: x >= 0)
+    by_pivot = F.array_sort(F.array_union(F.slice(F.array_sort(real), 1, listed), F.slice(real, 1, 1)))
     members = described.withColumn("width", F.size("embedding")).withColumn("listed", by_pivot)
     members = members.select("label", "width", F.explode(F.when(F.size("listed") > 0, F.col("listed")).otherwise(F.array(F.lit(-1).cast("long")))).alias("pivot"), "node", "times", "embedding", "near", "listed")
 
@@ -99,7 +117,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
         x = _unit(table.column("embedding").to_pylist())
         near = np.array(table.column("near").to_pylist(), dtype=np.int64)
         full = _masks(near, pivots)
-        first = np.full((len(node), listed), -1, dtype=np.int64)
+        first = np.full((len(node), listed + 1), -1, dtype=np.int64)
         for r, own_list in enumerate(table.column("listed").to_pylist()):
             first[r, : len(own_list)] = own_list
         first[first >= pivot] = -1  # what is left are the lists before this one
@@ -116,7 +134,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
             for w in range(full.shape[1]):
                 counts += np.bitwise_count(full[i, w][:, None] & full[right, w])
                 before |= (earlier[i, w][:, None] & earlier[right, w]) != 0
-            found = (counts >= need) & ~before
+            found = ((counts >= need) | (near[i, 0][:, None] == near[right, 0])) & ~before
             found &= x[i] @ x[right].T >= least
             if a == b:
                 found &= i[:, None] < right

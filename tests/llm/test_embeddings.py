@@ -51,5 +51,19 @@ def test_recall_near_the_threshold(spark):
     assert links > 300 and found / links >= 0.9
 
 
+def test_recall_in_a_hot_cluster(spark):
+    """A third of the rows in one dense cluster of near, not equal, vectors."""
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=64) + rng.normal(size=(700, 64)) * 0.27
+    rows = [(i, [float(x) for x in v.astype(np.float32)], 1) for i, v in enumerate(np.concatenate([hot, rng.normal(size=(1400, 64))]))]
+    want, links = brute(rows)
+    for cap in (300, 2048):
+        got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], ROWS), cap=cap).collect()
+        found = sum(r.n_links for r in got) / 2
+        assert all(r.n_links <= want[r.vec_id][0] for r in got)
+        print("links", links, "recall", found / links)
+        assert links > 30000 and found / links >= 0.97
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
