@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemora.functions.labels import authorized
@@ -50,9 +49,12 @@ def budgeted(items: DataFrame, key: list[str], order: str, budget: int | F.Colum
 
 
 def once_over_layers(items: DataFrame) -> DataFrame:
-    """items(layer_no, pos, source_kind, source_id): the first place of each source."""
-    n = F.row_number().over(W.partitionBy("source_kind", "source_id").orderBy("layer_no", "pos"))
-    return items.withColumn("__n", n).where("__n = 1").drop("__n")
+    """items(layer_no, pos, source_kind, source_id): the first place of each source, over whole layers.
+
+    (layer_no, pos) is unique, so the places found by a partial aggregate are joined back without a hot key.
+    """
+    places = items.groupBy("source_kind", "source_id").agg(F.min(F.struct("layer_no", "pos")).alias("__at"))
+    return items.join(places.select("__at.layer_no", "__at.pos"), ["layer_no", "pos"], "left_semi").select(*[F.col(c) for c in items.columns])
 
 
 def recent(captures: DataFrame, session, ceiling: str, order: list) -> DataFrame:
@@ -64,8 +66,8 @@ def recent(captures: DataFrame, session, ceiling: str, order: list) -> DataFrame
 def pack(layers: dict[str, DataFrame], budgets: dict[str, int] | None = None) -> DataFrame:
     """(layer, pos, source_kind, source_id, title, snippet, truncated) of layers of items(pos, source_kind, source_id, title, snippet).
 
-    pos counts from 1 in each layer. Items have a title, so no more of them than the budget has characters can enter
-    a layer; only that many are looked at, whatever a layer's size.
+    pos counts from 1 in each layer. Sources are told apart over the whole layers; only then is a layer cut by
+    the running sum of what its items use.
     """
     b = BUDGETS | (budgets or {})
     given = allocated(b["total"], b["core"], b["continuity"], b["relevant"])
@@ -74,7 +76,7 @@ def pack(layers: dict[str, DataFrame], budgets: dict[str, int] | None = None) ->
     for k, name in enumerate(LAYERS):
         if name not in layers:
             continue
-        part = layers[name].select(*columns).orderBy("pos").limit(max(1, sum(given.values()))).withColumn("layer_no", F.lit(k)).withColumn("layer", F.lit(name)).withColumn("budget", F.lit(given[name]))
+        part = layers[name].select(*columns).withColumn("layer_no", F.lit(k)).withColumn("layer", F.lit(name)).withColumn("budget", F.lit(given[name]))
         parts = part if parts is None else parts.unionByName(part)
     out = budgeted(once_over_layers(parts), ["layer", "layer_no", "budget"], "pos", F.col("budget"))
     return out.select("layer", "pos", "source_kind", "source_id", "title", "snippet", "truncated")

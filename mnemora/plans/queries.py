@@ -9,6 +9,7 @@ from mnemora.functions import labels as L
 from mnemora.functions import text as T
 from mnemora.operators import context as C
 from mnemora.operators import folds, graph, search
+from mnemora.operators.ordered import with_sum_before
 from mnemora.sources import views as V
 from mnemora.sources.views import table, with_views
 
@@ -209,17 +210,19 @@ _ONCE = "select * from layers qualify row_number() over (partition by source_kin
 def _layers(s: SparkSession, d: str) -> dict[str, DataFrame]:
     from pyspark.sql import Window as W
 
-    most = sum(C.BUDGETS[x] for x in C.LAYERS)
+    def named(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.col("pos").cast("long").alias("pos"), F.lit(kind).alias("source_kind"), F.col("id").alias("source_id"), "title", "snippet")
 
-    def placed(df: DataFrame, kind: str, *order) -> DataFrame:
-        """The first items by order, numbered: no more than the budget has characters."""
-        first = df.orderBy(*order).limit(most)
-        return first.select(F.row_number().over(W.orderBy(*order)).cast("long").alias("pos"), F.lit(kind).alias("source_kind"), F.col("id").alias("source_id"), "title", "snippet")
+    def placed(df: DataFrame, kind: str, order) -> DataFrame:
+        """All items, numbered by a whole-number order, span by span."""
+        counted = with_sum_before(df.withColumn("__by", order).withColumn("__one", F.lit(1).cast("long")), [], "__by", "__one", "__before")
+        return named(counted.withColumn("pos", F.col("__before") + 1), kind)
 
     core = L.authorized(table(s, d, "documents").where("source = 'src0'").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("rank"), F.col("source").alias("title"), F.col("text").alias("snippet")), "personal")
     said = table(s, d, "conversations").where("conv_id = 1").select((F.lit(V.CONVERSATIONS_FROM) + 1000 * F.col("conv_id") + F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("snippet"))
     hits = search.bm25(_docs(s, d), QUERY, "personal").orderBy(F.desc("score"), "id").limit(100).select("id", "score", F.lit("hit").alias("title"), F.substring("text", 1, 320).alias("snippet"))
-    return {"core": placed(core, "canon", F.col("id")), "continuity": placed(said, "evidence", F.desc("id")), "relevant": placed(hits, "canon", F.desc("score"), F.col("id"))}
+    hits = hits.withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+    return {"core": placed(core, "canon", F.col("id")), "continuity": placed(said, "evidence", -F.col("id")), "relevant": named(hits, "canon")}
 
 
 @query(f"with {_bm25_sql(QUERY)}, {_LAYERS}, once as ({_ONCE}) " + _budget_sql("select * from once", "layer", "pos", "layer, pos, source_kind, source_id", "budget"))
