@@ -19,37 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.shared import cut, only
-from mnemora.llm.tokens import IdEncoder
+from mnemora.llm.shared import cut, only, utf8
+from mnemora.llm.tokens import IdEncoder, proven_whole
 
 LIMIT = 2048
 CHUNK = 8192
-END = b"\0\0\0\0"
+END = 0
 _encoders: dict[str, IdEncoder] = {}
-_PIECE = "doc_id long, doc_hash long, piece int, start long, length long, ids_crc32 long"
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_KINDS = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 
 
-def pieces(docs: DataFrame, path: str, limit: int = LIMIT, at_once: int = 512) -> DataFrame:
+def _ended(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The ids of all texts with the end mark after each."""
+    return np.insert(ids, np.cumsum(sizes), END)
+
+
+def pieces(docs: DataFrame, path: str, limit: int = LIMIT, at_once: int = 4096) -> DataFrame:
     """A row for each piece of each document, without its text."""
 
+    proven = docs.sparkSession.sparkContext.broadcast(proven_whole(path))
+
     def run(batches):
         if path not in _encoders:
-            _encoders[path] = IdEncoder(path)
+            _encoders[path] = IdEncoder(path, proven.value)
         for batch in batches:
             for i in range(0, batch.num_rows, at_once):
                 part = batch.slice(i, at_once)
-                rows: list[list] = [[] for _ in range(6)]
-                for doc_id, text_hash, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _encoders[path].encode(part.column(2).to_pylist())):
-                    ids += END
-                    for k, at in enumerate(range(0, len(ids), 4 * limit)):
-                        own = ids[at : at + 4 * limit]
-                        for column, x in zip(rows, (doc_id, text_hash, k, at // 4, len(own) // 4, zlib.crc32(own))):
-                            column.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], [x.split()[0] for x in _PIECE.split(", ")])
-
-    source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("doc_hash"), "text")
-    return source.mapInArrow(run, _PIECE)
+                doc_id = part.column("doc_id")
+                for a, b, ids, sizes in _encoders[path].encode(utf8(part.column("text"))):
+                    data = memoryview(_ended(ids, sizes).astype("<u4").tobytes())
+                    sizes = sizes + 1
+                    begin = np.cumsum(sizes) - sizes
+                    n = -(-sizes // limit)
+                    of = np.repeat(np.arange(b - a), n)
+                    piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                    length = np.minimum(limit, sizes[of] - piece * limit)
+                    at = 4 * (begin[of] + piece * limit)
+                    crc = [zlib.crc32(data[x : x + y]) for x, y in zip(at.tolist(), (4 * length).tolist())]
+                    columns = (doc_id.take(pa.array(a + of)), piece, piece * limit, length, crc)
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _KINDS.values())], list(_KINDS))
+
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECE)
 
 
 def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +122,22 @@ def best_two_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
 
 
 def pack(docs: DataFrame, path: str, limit: int = LIMIT, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    kept = cut(pieces(docs, path, limit))
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece.
+
+    Pieces are dealt by their row number, which differs for equal rows too.
+    """
+    kept = cut(pieces(docs, path, limit).withColumn("row", F.monotonically_increasing_id()))
     whole = kept.where(F.col("length") == limit)
     chunks = max(1, -(-kept.where(F.col("length") < limit).count() // chunk))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_hash", "doc_id", "piece")])
+        table = table.sort_by("row")
         bin_of, offset = best_two_fit(table.column("length").to_numpy(), limit)
         number = bin_of * (2 * chunks) + 2 * table.column("chunk")[0].as_py()
-        columns = {c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+        columns = {c: table.column(c) for c in _KINDS}
         return pa.table(columns | {"sequence_id": pa.array(number), "offset": pa.array(offset)})
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    dealt = kept.where(F.col("length") < limit).withColumn("chunk", F.pmod(F.xxhash64("doc_hash", "doc_id", "piece"), F.lit(chunks)).cast("long"))
-    mixed = dealt.groupBy("chunk").applyInArrow(run, schema)
-    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    dealt = kept.where(F.col("length") < limit).withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("long"))
+    mixed = dealt.groupBy("chunk").applyInArrow(run, f"{_PIECE}, sequence_id long, offset long")
+    alone = whole.select(*_KINDS, (F.col("row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return mixed.unionByName(alone)

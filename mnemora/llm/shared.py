@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +37,8 @@ def parts_for(spark: SparkSession, rows: int, rows_each: int) -> int:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, whatever else the frame carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def utf8(column: pa.Array) -> list[bytes]:
+    """The texts of a column as bytes; a null counts as empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

@@ -11,12 +11,13 @@ from mnemora.llm.token_counts import token_counts
 from mnemora.llm.tokens import Counter, IdEncoder, load, proven_whole
 
 PATH = tokenizer_path()
+FEW = {w: load(PATH).encode(w).ids[0] for w in ("the", "a")}
 ODD = ["", "a", "Hello's WORLD 123", "<|endoftext|> x <|startoftext|>", "İstanbul ß ﬁ é é", "日本語 テスト", "a\x1cb\x1dc\x85d\xa0e f", "'S 'll don't", "$$$###!!! | |", "é ́x", "😀 👍🏽", "<| endoftext|>", "ǅ ẞ ² ½ ٣", "word " * 3000]
 
 
 @pytest.fixture(scope="module")
 def tools():
-    return load(PATH), IdEncoder(PATH), Counter(PATH, frozenset(proven_whole(PATH)))
+    return load(PATH), IdEncoder(PATH, proven_whole(PATH)), Counter(PATH, proven_whole(PATH))
 
 
 def direct(tokenizer, text):
@@ -24,7 +25,7 @@ def direct(tokenizer, text):
 
 
 def test_proof_is_the_librarys(tools):
-    whole = proven_whole(PATH)
+    whole = [*proven_whole(PATH)]
     assert 30_000 < len(whole) < 49_408
     for e in tools[0].encode_batch(whole[::17], add_special_tokens=False):
         assert len(e.ids) == 1
@@ -32,16 +33,44 @@ def test_proof_is_the_librarys(tools):
 
 def test_odd_texts(tools):
     tokenizer, encoder, counter = tools
-    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([*ODD, None])] == [direct(tokenizer, t) for t in [*ODD, None]]
-    assert counter.count([*ODD, None]) == [len(direct(tokenizer, t)) for t in [*ODD, None]]
+    assert ids_of(encoder, ODD) == [direct(tokenizer, t) for t in ODD]
+    assert counter.count([t.encode() for t in ODD]).tolist() == [len(direct(tokenizer, t)) for t in ODD]
+
+
+def ids_of(encoder, texts):
+    out = []
+    for a, b, ids, sizes in encoder.encode([t.encode() for t in texts]):
+        assert a == len(out) and b - a == len(sizes)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{"entries": 64}, {"most_bytes": 300}, {"longest": 3}])
+def test_small_memos_change_nothing(spark, bounds):
+    """Memos that start anew, have no room for a batch, or keep no long runs."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + ODD
+    encoder, counter = IdEncoder(PATH, FEW, **bounds), Counter(PATH, FEW, **bounds)
+    want = [direct(load(PATH), t) for t in texts]
+    for _ in range(2):
+        assert ids_of(encoder, texts) == want
+        assert counter.count([t.encode() for t in texts]).tolist() == [len(x) for x in want]
+
+
+def test_equal_hashes_never_stand_for_other_runs(monkeypatch):
+    from mnemora.llm import tokentable
+
+    monkeypatch.setattr(tokentable, "token_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ["ab cd ab ef", "cd xyz abc abc"]
+    for _ in range(2):
+        assert ids_of(IdEncoder(PATH, FEW), texts) == [direct(load(PATH), t) for t in texts]
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
-    assert np.frombuffer(IdEncoder(PATH).encode([text])[0], "<u4").tolist() == direct(load(PATH), text)
-    counter = Counter(PATH, frozenset(["the", "a"]))
-    assert counter.count([text]) == [len(direct(load(PATH), text))]
+    assert ids_of(IdEncoder(PATH, FEW, entries=1024), [text]) == [direct(load(PATH), text)]
+    counter = Counter(PATH, FEW, entries=1024)
+    assert counter.count([text.encode()]).tolist() == [len(direct(load(PATH), text))]
 
 
 def test_counts_match_the_library(spark):
@@ -106,6 +135,38 @@ def test_repeated_rows_are_documents_of_their_own(spark):
     assert place == 21
 
 
+def plain_best_two_fit(lengths, limit):
+    """The same rule by plain search: greedy by the longest that fits, then the smallest gives way to the two of the largest sum."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], limit
+        while any(x <= gap for x in left):
+            x = max(y for y in left if y <= gap)
+            left.remove(x)
+            own.append(x)
+            gap -= x
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(left[i] + left[j], -left[i]) for i in range(len(left)) for j in range(i + 1, len(left)) if left[i] + left[j] <= room]
+            if pairs and max(pairs)[0] > own[-1]:
+                total, small = max(pairs)
+                left.append(own.pop())
+                for x in (total + small, -small):
+                    left.remove(x)
+                    own.append(x)
+                left.sort()
+        bins.append(sorted(own))
+    return bins
+
+
+def test_best_two_fit_matches_a_plain_packer():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        x = rng.integers(1, 41, rng.integers(1, 60))
+        bin_of, _ = best_two_fit(x, 40)
+        assert [sorted(x[bin_of == b].tolist()) for b in range(bin_of.max() + 1)] == plain_best_two_fit(x.tolist(), 40)
+
+
 def test_best_two_fit_swaps_the_smallest():
     lengths = np.array([60, 30, 25, 14])  # greedy: 60 + 30 leaves 10; 25 + 14 fill its gap of 40 better
     bin_of, offset = best_two_fit(lengths, 100)
