@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,22 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of a column as bytes; a null counts as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have, in any case of letters."""
+    taken, name = {c.lower() for c in df.columns}, f"__{base}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keep_first(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row of docs for each (doc_id, text_hash) of chosen, all columns as they were; docs is shuffled once."""
+    by = [free_name(docs, "id"), free_name(docs, "hash")]
+    no_id = F.lit(-(1 << 63))
+    marked = docs.select("*", F.coalesce(F.col("`doc_id`").cast("long"), no_id).alias(by[0]), F.xxhash64("`text`").alias(by[1]))
+    wanted = chosen.select(F.coalesce("doc_id", no_id).alias(by[0]), F.col("text_hash").alias(by[1])).distinct()
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    kept = marked.join(wanted, by, "left_semi").select("*", nth.alias(free_name(docs, "nth"))).where(f"{free_name(docs, 'nth')} = 1")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

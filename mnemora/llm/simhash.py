@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.bitslice import linked_rows
 from mnemora.llm.components import connected_components
-from mnemora.llm.shared import cut, only
+from mnemora.llm.shared import cut, keep_first, only
 
 BLOCKS = 4
 _FP = "doc_id long, text_hash long, fp long"
@@ -154,11 +154,4 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, cap: int
 
 def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """docs with one row of each group of near-duplicates, all columns as they were."""
-    chosen = cut(near_duplicates(docs, radius, shingle).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    marked = docs.withColumn("__key", F.xxhash64("text"))
-    same = marked["doc_id"].cast("long").eqNullSafe(chosen["__id"]) & (marked["__key"] == chosen["__hash"])
-    kept = marked.join(chosen, same, "left_semi")
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("doc_id"))
-    return kept.withColumn("__nth", first).where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keep_first(docs, cut(near_duplicates(docs, radius, shingle).where("kept").select("doc_id", "text_hash")))
