@@ -8,7 +8,8 @@ most `sample` labelled rows and its temperature on a part of them kept aside.
 
 Edge cases: null and empty texts pool to zeros and get the network's score for that; with
 no usable labels, or labels of one kind only, each score is the share of good labels (0.5 without
-any); conflicting labels of a doc_id count as bad; a null doc_id never has a label.
+any); conflicting labels of a doc_id count as bad; of texts of equal labelled doc_id the fit takes the one of the least
+pooled bytes; a null doc_id never has a label.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.shared import only
+from mnemora.llm.shared import free_name, only
 from mnemora.llm.textkernels import WORDS_AND_MARKS, chunks_of, joined, token_hashes, tokens
 
 VOCABULARY = 8192
@@ -192,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, mark: str = "quality", sample: int
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     rows = only(docs, "doc_id", "text").withColumn("__id", F.col("doc_id").cast("long")).join(F.broadcast(chosen), "__id").select("__id", "y", "text")
-    got = sorted((r.id, bytes(r.x), r.y) for r in rows.mapInArrow(pool, "id long, y double, x binary").limit(2 * sample).collect())
+    one = rows.mapInArrow(pool, "id long, y double, x binary").groupBy("id", "y").agg(F.min("x").alias("x"))  # of rows of equal doc_id the least
+    got = sorted((r.id, bytes(r.x), r.y) for r in one.collect())
     x = np.frombuffer(b"".join(r[1] for r in got), dtype=np.float32).reshape(-1, FEATURES)
     return vectors, fit(x, np.array([r[2] for r in got]))
 
@@ -222,4 +224,5 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that score 0.5 or more; the same columns."""
     vectors, net = train(docs, labels)
-    return with_scores(docs, vectors, net, "__score").where("__score >= 0.5").drop("__score")
+    score = free_name(docs, "score")
+    return with_scores(docs, vectors, net, score).where(F.col(score) >= 0.5).drop(score)

@@ -11,7 +11,7 @@ log-odds for it stand highest above zero, measured by their spread. Fitting runs
 
 Edge cases: null and empty texts have no words and score the models' intercepts; without usable labels,
 or with labels of one kind, a category scores the share of its labels (0 without any); conflicting labels
-of a doc_id count as toxic and as bad quality; a null quality counts as good. Empty in, empty out.
+of a doc_id count as toxic and as bad quality; of texts of equal labelled doc_id the fit takes the one of the least feature bits; a null quality counts as good. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
             bits = np.packbits(presence(_lower(batch.column("text")), vocabulary), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("__id"), *[batch.column(c) for c in CATEGORIES], pa.array([r.tobytes() for r in bits], pa.binary())], ["id", *CATEGORIES, "bits"])
 
-    got = source.mapInArrow(rows_of, "id long, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", bits binary").limit(2 * sample).collect()
+    got = source.mapInArrow(rows_of, "id long, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", bits binary").groupBy("id", *CATEGORIES).agg(F.min("bits").alias("bits")).collect()  # of rows of equal doc_id the least
     got = sorted((r.id, bytes(r.bits), *[r[c] for c in CATEGORIES]) for r in got)
     words = np.zeros((len(got), len(vocabulary)), dtype=np.uint8)
     for i, r in enumerate(got):

@@ -41,6 +41,67 @@ def test_word_vectors_match_a_plain_loop(spark):
     assert np.allclose(word_vectors(df), total, atol=1e-5)
 
 
+def plain_scores(docs, labels, sample=20_000):
+    """Scores of all documents by plain loops over their words, with a fit on the same labelled rows."""
+    from mnemora.llm.quality import buckets_of
+
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
+    words = {d: [x for _, _, bs, _ in buckets_of([t]) for x in bs.tolist()] for d, t in rows}
+    place, sign = index_vectors()
+    total, seen = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
+    for own in words.values():
+        for i, b in enumerate(own):
+            seen[b] += 1
+            for j in range(max(0, i - 2), min(len(own), i + 3)):
+                if i != j:
+                    for t in range(2):
+                        total[b, place[own[j], t]] += sign[own[j], t]
+    for b in range(VOCABULARY):
+        for t in range(2):
+            total[b, place[b, t]] += sign[b, t] * max(seen[b], 1) * 4
+    total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+    total -= (seen[:, None] * total).sum(axis=0) / seen.sum()
+
+    def features(own):
+        if not own:
+            return np.zeros(FEATURES)
+        mean = sum(total[b] for b in own) / len(own)
+        return np.concatenate([mean, [np.sqrt(sum(mean**2)), sum(a == b for a, b in zip(own, own[1:])) / len(own), np.log(1 + len(own))]])
+
+    x = {d: features(own) for d, own in words.items()}
+    worst = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1:
+            worst[r.doc_id] = min(r.quality, worst.get(r.doc_id, 1))
+    known = sorted(d for d in worst if d in x)
+    assert len(known) <= sample
+    net = fit(np.array([x[d] for d in known]), np.array([float(worst[d]) for d in known]))
+    out = {}
+    for d, own in x.items():
+        hidden = np.tanh([sum((own - net.mean) / net.scale * net.a[:, h]) + net.b[h] for h in range(len(net.b))])
+        out[d] = 1 / (1 + np.exp(-(sum(hidden * net.c) + net.d) / net.temperature))
+    return out
+
+
+def test_query_matches_plain_loops(spark):
+    small = "/root/testdata/sf0.001"
+    want = plain_scores(*(spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels")))
+    got = {r.doc_id: r for r in queries.op4_quality_classifier(spark, small).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[d].score - want[d]) for d in want) < 2e-3
+    assert all(got[d].predicted == (want[d] >= 0.5) for d in want if abs(want[d] - 0.5) > 2e-3)
+
+
+def test_repeated_labelled_rows_give_one_model(spark):
+    """More rows of labelled doc_ids than twice the sample: the fit takes one of each, whatever the order."""
+    from mnemora.llm.quality import train
+
+    rows = [(d, f"{'good words here' if d % 2 else '### $$ 1 1 1'} {d} {k}") for d in range(40) for k in range(9)]
+    labels = spark.createDataFrame([(d, d % 2, 0) for d in range(40)], "doc_id long, quality int, toxic int")
+    nets = [train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, sample=15)[1] for n, r in ((1, rows), (5, rows[::-1]))]
+    assert np.allclose(nets[0].a, nets[1].a, atol=1e-3) and abs(nets[0].temperature - nets[1].temperature) < 0.05
+
+
 def test_temperature_lowers_the_loss_of_an_overconfident_fit():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, FEATURES))

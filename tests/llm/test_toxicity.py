@@ -17,6 +17,65 @@ def test_held_out_accuracy(spark):
     assert ((got.p_toxic_junk >= 0.5).to_numpy() == junk).mean() > 0.97
 
 
+def test_query_matches_plain_loops(spark):
+    """Selection of words, features and the chain by plain loops; the linear fits are the module's own."""
+    import math
+    import re
+    import zlib
+
+    small = "/root/testdata/sf0.001"
+    token = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+")
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+
+    def features(text):
+        words = set(token.findall((text or "").lower().encode()))
+        return {("w", w) for w in words} | {("w", w[:n]) for w in words for n in (4, 5, 6, 7, 8) if len(w) > n}
+
+    sets = {r.doc_id: features(r.text) for r in rows}
+    marks = {}
+    for r in spark.read.parquet(f"{small}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in sets:
+            marks[r.doc_id] = [float(r.toxic == 1), float(r.toxic == 1 and r.quality == 1), float(r.toxic == 1 and r.quality != 1)]
+    ids = sorted(marks)
+    count = {}
+    for d in ids:
+        for f in sets[d]:
+            count.setdefault(f, np.zeros(4))
+            count[f] += [1, *marks[d]]
+    totals = np.sum([marks[d] for d in ids], axis=0)
+    picked = set()
+    for c in range(3):
+        yes, no = totals[c], len(ids) - totals[c]
+
+        def z(f):
+            a, b = count[f][1 + c] + 0.5, count[f][0] - count[f][1 + c] + 0.5
+            odds = math.log(a / (yes + 1 - a)) - math.log(b / (no + 1 - b))
+            return odds / math.sqrt(1 / a + 1 / b + 1 / (yes + 1 - a) + 1 / (no + 1 - b))
+
+        # the operator breaks ties by hash: take its own hash for the order
+        key = {f: int(next(iter(word_sets([f[1]]))).view(np.int64)[_whole(f[1])]) for f in count if count[f][0] >= 3}
+        picked |= set(sorted(key, key=lambda f: (-round(z(f), 12), key[f]))[:512])
+    order = sorted(picked, key=lambda f: key[f] % (1 << 64))
+    x = {d: np.array([float(f in sets[d]) for f in order]) for d in sets}
+    chain = fit_chain(np.array([x[d] for d in ids]).astype(np.uint8), np.array([marks[d] for d in ids]), np.arange(len(ids)) % 5, None)
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, small).collect()}
+    assert got.keys() == x.keys()
+    for d, own in x.items():
+        for k, model in enumerate(chain.models):
+            odds = max(-30, min(30, sum(own * model.weights) + model.intercept))
+            assert abs(got[d][f"p_{('toxic', 'toxic_prose', 'toxic_junk')[k]}"] - 1 / (1 + math.exp(-odds))) < 1e-3
+            own = np.append(own, odds / 4)
+
+
+def _whole(word):
+    """Where the hash of the whole word stands among its own and its beginnings'."""
+    from mnemora.llm.textkernels import token_hashes
+
+    data = np.frombuffer(word, dtype=np.uint8)
+    own = token_hashes(data, np.array([0]), np.array([len(word)]))[0]
+    return int(np.flatnonzero(next(iter(word_sets([word]))) == own)[0])
+
+
 def test_presence_matches_sets():
     texts = [b"a b a ###", b"", b"b!"]
     sets = [set(s.tolist()) for s in word_sets(texts)]
