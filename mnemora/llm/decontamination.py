@@ -7,8 +7,9 @@ holds a share t misses at most n - ceil(t n), so n - ceil(t n) + 1 of them can't
 look up their own shingles in the inverted sketches, so a short item is found inside a document of any
 length with recall 1; candidates are then verified on the shingles' words.
 
-The index of the items is broadcast in blocks of at most `block_bytes` of item text; a larger benchmark
-takes several blocks, each held against all documents.
+The index of the items is broadcast in blocks of at most `block_bytes` of item text. A larger benchmark
+takes several blocks, one after the other: what a block finds is written before the next is built, so tasks and
+driver hold one index at a time.
 
 Edge cases: an item of fewer than five words is one shingle of all its words; null and empty items and
 documents match nothing; repeated items and rows each count; a null id is carried along. Empty in, empty out.
@@ -17,6 +18,7 @@ documents match nothing; repeated items and rows each count; a null id is carrie
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.shared import only
+from mnemora.llm.shared import cut, only
 from mnemora.llm.textkernels import ALNUM, chunks_of, joined, token_hashes, tokens, window_hashes
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 20
 
 
@@ -99,20 +101,20 @@ class Items:
         return found
 
 
-def _blocks(items: DataFrame, block_bytes: int):
-    """The items in blocks of bounded size, to be broadcast one after the other."""
+def _one_by_one(docs: DataFrame, items: DataFrame, containment: float, shingle: int, block_bytes: int, apply):
+    """apply(broadcast index) for each block of items. All but a single block's result is written before the next block."""
     plain = only(items, "item_id", "text").where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     for k in range(n):
-        yield plain if n == 1 else plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-
-
-def _indexes(docs: DataFrame, items: DataFrame, containment: float, shingle: int, block_bytes: int):
-    for block in _blocks(items, block_bytes):
+        block = plain if n == 1 else plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         held = block.toArrow()
-        index = Items(held.column("item_id").to_pylist(), _lower(held.column("text").combine_chunks()), containment, shingle)
-        yield docs.sparkSession.sparkContext.broadcast(index)
+        index = docs.sparkSession.sparkContext.broadcast(Items(held.column("item_id").to_pylist(), _lower(held.column("text").combine_chunks()), containment, shingle))
+        done = apply(index)
+        if n > 1:
+            done = cut(done)
+            index.destroy()
+        yield done
 
 
 def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -132,11 +134,8 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: float = CONT
         return run
 
     source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    out = None
-    for index in _indexes(docs, items, containment, shingle, block_bytes):
-        part = source.mapInArrow(search(index), schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [*_one_by_one(docs, items, containment, shingle, block_bytes, lambda index: source.mapInArrow(search(index), schema))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -151,6 +150,7 @@ def clean_documents(docs: DataFrame, items: DataFrame, containment: float = CONT
 
         return run
 
-    for index in _indexes(docs, items, containment, shingle, block_bytes):
-        docs = docs.mapInArrow(drop(index), docs.schema)
-    return docs
+    left = [docs]
+    for kept in _one_by_one(docs, items, containment, shingle, block_bytes, lambda index: left[-1].mapInArrow(drop(index), docs.schema)):
+        left.append(kept)
+    return left[-1]
