@@ -24,7 +24,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "[INST ", "</s>\n"
@@ -164,8 +164,21 @@ def digests(segments: DataFrame) -> DataFrame:
 
 
 PROBE = "</s>[INST] ok [/INST]"
+DRAFT = "(draft)"
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as `message` events."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """Rows by turn as the log of a streamed chat: a message begins with half of its text and a delta brings the rest;
+    an assistant's is first a draft that is regenerated. Rows of one turn follow each other by role and text."""
+    row = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    begin, rest = F.col("text").substr(F.lit(1), half), F.col("text").substr(half + 1, F.length("text"))
+    none = F.lit(None).cast("string")
+
+    def event(k: int, kind: str, role: F.Column, text: F.Column) -> F.Column:
+        return F.struct((4 * F.col("row") + k).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    plain = F.array(event(0, "message", F.col("role"), begin), event(2, "delta", none, rest))
+    said = F.array(event(0, "message", F.col("role"), F.lit(DRAFT)), event(1, "regenerate", none, begin), event(2, "delta", none, rest))
+    log = conversations.withColumn("row", row).select("conv_id", "turn", F.explode(F.when(F.col("role") == "assistant", said).otherwise(plain)).alias("e"))
+    return log.select("conv_id", "turn", "e.*")

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from mnemora.llm import queries
-from mnemora.llm.chat import PROBE, digests, format_conversations, parse, render
+from mnemora.llm.chat import PROBE, as_events, digests, format_conversations, parse, render
 
 SF = "/root/testdata/sf0.001"
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string, formatted string"
@@ -50,3 +50,13 @@ def test_fold_of_events(spark):
     d = {r.conv_id: r for r in digests(segments).collect()}
     assert (d[1].loss_chars, d[1].loss_sha256, d[2].loss_chars) == (5, sha("Right"), 0)
     assert digests(format_conversations(spark.createDataFrame([], EVENTS))).count() == 0
+
+
+def test_streamed_rows_fold_back(spark):
+    rows = [(1, 0, "user", "ab"), (1, 0, "user", "ab"), (1, 0, "assistant", "a"), (1, 1, "assistant", None), (1, 1, "assistant", ""), (1, None, None, "\U0001f600x"), (None, 3, "user", "[x]")]
+    log = as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta", "regenerate"}
+    out = {}
+    for r in format_conversations(log).collect():
+        out.setdefault(r.conv_id, []).extend(parse(r.formatted))
+    assert out == {1: [("", "\U0001f600x"), ("assistant", "a"), ("user", "ab"), ("user", "ab"), ("assistant", ""), ("assistant", "")], None: [("user", "[x]")]}
