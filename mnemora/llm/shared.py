@@ -61,3 +61,10 @@ def keep_first(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
     kept = marked.join(wanted, by, "left_semi").select("*", nth.alias(free_name(docs, "nth"))).where(f"{free_name(docs, 'nth')} = 1")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared store, through Spark's own file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
