@@ -470,3 +470,14 @@ def validation_report(s, d):
     captures, log, edges = V.captures(s, d), V.ev_log(s, d), V.claim_evidence(s, d)
     found = report(log.select("seq", F.col("seq").alias("id"), F.col("prev_seq").alias("prev_id")), V.claims(s, d), edges, captures, folds.effective_rank(captures, log), _requirements(s, d), V.candidate_log(s, d))
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.min("location").alias("first_location"))
+
+
+@query(with_views("ev_log") + """, old as (select seq, target, kind from ev_log where target % 2 = 0), fresh as (select * from ev_log where target % 2 = 1)
+select seq as event, (select max(seq) from old) + row_number() over (order by seq) as sequence, coalesce(lag(seq) over (order by seq), (select max(seq) from old)) as previous_event from fresh""")
+def append_events(s, d):
+    """The events of odd targets appended to the log of the even ones, in their own order."""
+    from mnemora.sources.records import next_events
+
+    log = V.ev_log(s, d).select(F.col("seq").alias("id"), F.col("seq").alias("sequence"), "target")
+    out = next_events(log.where("target % 2 = 0"), log.where("target % 2 = 1").select("id"), ["id"])
+    return out.select(F.col("id").alias("event"), "sequence", "previous_event")

@@ -1,8 +1,8 @@
 """Record stores on disk: sealed JSON captures and events, content-addressed objects and curated documents.
 
 Folders are read with `binaryFile`; names that begin with an underscore are not listed, so the event log is read from its own
-root. Sizes are checked on the file's length, before the content column is read. A record that is no strict JSON,
-or whose seal does not match, is kept with an `error`, never dropped.
+root. Sizes are checked on the file's length, so that the content of a file over its limit is never read. Such a file, a record that is no
+strict JSON, and one whose seal does not match are rows with an `error`, never dropped.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mnemora.checkpoints import cut, free_name
 from mnemora.functions.records import canonical, strict_load
+from mnemora.operators.ordered import with_previous
 
 RECORD_BYTES, TEXT_BYTES, OBJECT_BYTES, FRONT_BYTES = 16 << 20, 8 << 20, 64 << 20, 1 << 20
 SOURCE = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "uri", "account", "device", "external_id", "session", "workspace")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
@@ -34,6 +36,8 @@ def checked_record(content: pd.Series) -> pd.DataFrame:
     """The record's text, and what is wrong with it."""
 
     def one(raw):
+        if raw is None:
+            return None, "too long"
         try:
             value = strict_load(raw, RECORD_BYTES)
         except (ValueError, RecursionError) as e:
@@ -43,12 +47,14 @@ def checked_record(content: pd.Series) -> pd.DataFrame:
         sealed = "sha256:" + hashlib.sha256(canonical({k: v for k, v in value.items() if k != "integrity"})).hexdigest()
         return canonical(value).decode(), None if value.get("integrity") == sealed else "integrity does not match"
 
-    return pd.DataFrame([one(bytes(x)) for x in content], columns=["text", "error"])
+    return pd.DataFrame([one(None if x is None else bytes(x)) for x in content], columns=["text", "error"])
 
 
 def _files(spark: SparkSession, root: str, glob: str, most: int) -> DataFrame:
+    """(path, length, content) of all files; content is null over the limit. Both filters reach the scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    return files.where(F.col("length") <= most)
+    read = files.where(F.col("length") <= most).select("path", "length", "content")
+    return read.unionByName(files.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def _records(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
@@ -74,7 +80,7 @@ def read_objects(spark: SparkSession, root: str, most: int = OBJECT_BYTES) -> Da
     files = _files(spark, root, "*", most)
     name = F.regexp_extract("path", r"([0-9a-f]{64})$", 1)
     actual = F.sha2("content", 256)
-    error = F.when(name == "", "not a digest").when(name != actual, "bytes do not match the digest")
+    error = F.when(name == "", "not a digest").when(F.col("content").isNull(), "too long").when(name != actual, "bytes do not match the digest")
     return files.select(name.alias("digest"), F.col("length").alias("size"), "content", error.alias("error"))
 
 
@@ -94,23 +100,23 @@ def new_objects(payloads: DataFrame, objects: DataFrame) -> DataFrame:
 def next_events(log: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
     """fresh(id, ...) numbered on from the end of the log, each linked to the one before.
 
-    The append position is one partial aggregate. Numbers come from a sort by range and the sizes of its partitions, so
-    no task sees all fresh events.
+    The append position is one partial aggregate. Fresh events are dealt by ranges of `order` and written once; numbers are a row's
+    place in its part after the sizes of the parts before, so no task sees all fresh events.
     """
     last = log.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("n"), F.max_by("id", "sequence").alias("id")).first()
-    n = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = fresh.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() % (1 << 33))
-    from mnemora.operators.ordered import with_previous
-
-    sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}  # one number a partition
-    starts, total = {}, last.n
-    for part in sorted(sizes):
-        starts[part], total = total, total + sizes[part]
-    start = F.lit(0).cast("long")
-    for part, at in starts.items():
-        start = F.when(F.col("__part") == part, F.lit(at).cast("long")).otherwise(start)
-    numbered = placed.withColumn("sequence", start + F.col("__at") + 1).drop("__part", "__at").withColumn("__all", F.lit(0))
-    linked = with_previous(numbered, ["__all"], "sequence", "id", "previous_event").drop("__all")
+    spark = fresh.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part, at = free_name(fresh, "part"), free_name(fresh, "at")
+    dealt = fresh.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = cut(dealt)  # the bounds of ranges come from a sample: another run would deal otherwise
+    sizes = {r[part]: r["count"] for r in placed.groupBy(part).count().collect()}  # one number a part
+    starts, total = [], last.n
+    for k in sorted(sizes):
+        starts.append((k, total))
+        total += sizes[k]
+    offsets = spark.createDataFrame(starts, f"`{part}` int, __start long")
+    numbered = placed.join(F.broadcast(offsets), part).withColumn("sequence", F.col("__start") + F.col(at) + 1).drop(part, at, "__start").withColumn(part, F.lit(0))
+    linked = with_previous(numbered, [part], "sequence", "id", "previous_event").drop(part)
     return linked.withColumn("previous_event", F.coalesce("previous_event", F.lit(last.id)))
 
 
@@ -127,6 +133,8 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
     @F.pandas_udf("front_matter string, body string, error string")
     def parts(content: pd.Series) -> pd.DataFrame:
         def one(raw):
+            if raw is None:
+                return None, None, "too long"
             m = _FRONT.match(raw)
             if not m or len(m[1]) > FRONT_BYTES:
                 return None, None, "no front matter" if not m else "front matter is too long"
@@ -135,7 +143,7 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
             except UnicodeDecodeError:
                 return None, None, "not UTF-8"
 
-        return pd.DataFrame([one(bytes(x)) for x in content], columns=["front_matter", "body", "error"])
+        return pd.DataFrame([one(None if x is None else bytes(x)) for x in content], columns=["front_matter", "body", "error"])
 
     return files.select("path", parts("content").alias("p")).select("path", "p.*")
 

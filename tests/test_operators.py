@@ -186,3 +186,33 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from done").collect()] == [("s", "1", "u", "a")]
+
+
+def test_numbers_of_many_fresh_events(spark):
+    """More rows than a range sample covers: the numbers are one gap-free chain in the order of the events."""
+    n = 1_200_000
+    fresh = spark.range(0, n, 1, 6).select(F.xxhash64("id").alias("at"), F.col("id").cast("string").alias("id"), F.lit("x").alias("__part"))
+    log = spark.createDataFrame([("a", 1), ("b", 2)], "id string, sequence long")
+    out = records.next_events(log, fresh, ["at"])
+    r = out.agg(F.count("*").alias("n"), F.min("sequence").alias("a"), F.max("sequence").alias("b"), F.countDistinct("sequence").alias("d")).first()
+    assert (r.n, r.a, r.b, r.d) == (n, 3, n + 2, n)
+    prior = out.select((F.col("sequence") + 1).alias("sequence"), F.col("id").alias("before"), F.col("at").alias("then"))
+    linked = out.join(prior, "sequence", "left")
+    assert linked.where("not (previous_event <=> coalesce(before, 'b')) or then >= at").count() == 0
+    assert records.next_events(log, fresh.where("false"), ["at"]).count() == 0
+
+
+def test_records_at_and_over_the_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "RECORD_BYTES", 200)
+    for name, size in (("at", 200), ("over", 201)):
+        body = {"id": name, "pad": ""}
+        body["pad"] = "x" * (size - len(canonical(body)))
+        (tmp_path / f"{name}.json").write_bytes(canonical(body))
+    found = {r.path.rsplit("/", 1)[1]: (r.error, r.raw is None) for r in records.read_captures(spark, str(tmp_path)).collect()}
+    assert found == {"at.json": ("integrity does not match", False), "over.json": ("too long", True)}
+    digest = hashlib.sha256(b"abc").hexdigest()
+    store = tmp_path / "objects"
+    store.mkdir()
+    (store / digest).write_bytes(b"abc")
+    (store / ("0" * 64)).write_bytes(b"abcd")
+    assert {r.digest: (r.error, r.content is None, r.size) for r in records.read_objects(spark, str(store), 3).collect()} == {digest: (None, False, 3), "0" * 64: ("too long", True, 4)}
