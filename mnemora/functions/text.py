@@ -12,6 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_GAP = r"[^\p{L}\p{N}\p{Co}]+"
 NOT_ALNUM = r"[^\p{L}\p{N}]"
 GRAM_CHARS = 200_000
+"""A usual limit for `most` below."""
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 # Application types that hold text.
 TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml")
@@ -32,19 +33,18 @@ ALIASES = ("representation-added", "retention-changed", "payload-evicted", "payl
 
 def tokens(text: Column) -> Column:
     """Lower-cased, accent-folded runs of letters and digits."""
-    return F.filter(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), TOKEN_GAP), lambda t: t != "")
+    return F.array_remove(F.split(F.translate(F.lower(text), ACCENTED, FOLDED), TOKEN_GAP), "")
 
 
-def alnum(text: Column) -> Column:
-    """What character grams are made of: the first 200,000 characters, letters and digits only, lower case."""
-    return F.lower(F.regexp_replace(text.substr(1, GRAM_CHARS), NOT_ALNUM, ""))
+def alnum(text: Column, most: int | None = None) -> Column:
+    """What character grams are made of: letters and digits only, lower case; of the first `most` characters, where given."""
+    return F.lower(F.regexp_replace(text if most is None else text.substr(1, most), NOT_ALNUM, ""))
 
 
-def bigrams(text: Column) -> Column:
+def bigrams(text: Column, most: int | None = None) -> Column:
     """Distinct pairs of neighbouring letters and digits; one alone is a gram of itself."""
-    chars = F.filter(F.split(alnum(text), ""), lambda c: c != "")
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.greatest(F.size(chars) - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.when(F.size(chars) == 1, chars).otherwise(pairs))
+    plain = alnum(text, most)
+    return F.when(F.length(plain) == 1, F.array(plain)).otherwise(F.array_distinct(F.regexp_extract_all(plain, F.lit("(?s)(?=(..))"), 1)))
 
 
 def ascii_fold(text: Column) -> Column:
@@ -91,7 +91,8 @@ def sort_time(text: Column) -> Column:
 
 
 def turn_external_id(host: Column, session: Column, turn: Column) -> Column:
-    return F.concat(F.lit("turn-v1:"), F.sha2(F.concat_ws("\0", host, session, turn).cast("binary"), 256))
+    """Null where a part is null: parts that are missing name no turn."""
+    return F.concat(F.lit("turn-v1:"), F.sha2(F.concat(host, F.lit("\0"), session, F.lit("\0"), turn).cast("binary"), 256))
 
 
 def dotted(event_type: Column) -> Column:
@@ -126,3 +127,44 @@ def credentials(text: Column) -> Column:
     """Names of the detectors that fire, in order; never what they found."""
     hits = F.array(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in CREDENTIALS])
     return F.filter(hits, lambda x: x.isNotNull())
+
+
+MEDIA_TYPE = r"^[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+$"
+ROLE = r"^[a-z][a-z0-9._-]{0,126}$"
+
+
+def textual_type(media_type: Column) -> Column:
+    """The media type without parameters, lower-cased, where it is well-formed and holds text; else null."""
+    kind = F.lower(F.trim(F.split_part(media_type, F.lit(";"), F.lit(1))))
+    return F.when(kind.rlike(MEDIA_TYPE) & is_textual(media_type), kind)
+
+
+def strict_digest_of(reference: Column) -> Column:
+    """The digest of a `sha256:` reference of 64 lower-case hex digits, or null."""
+    return F.nullif(F.regexp_extract(reference, r"^sha256:([0-9a-f]{64})$", 1), F.lit(""))
+
+
+def precision(text: Column) -> Column:
+    """`date` or `datetime` for what is one, else null."""
+    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.when(day, F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), "date")).when(instant(text).isNotNull(), "datetime")
+
+
+def is_validity(start: Column, end: Column) -> Column:
+    """Whether [start, end) is a time of one precision that is not empty; a missing end is open."""
+    same = precision(start).eqNullSafe(precision(end)) & precision(start).isNotNull()
+    earlier = F.when(precision(start) == "date", F.try_to_date(start, "yyyy-MM-dd") < F.try_to_date(end, "yyyy-MM-dd")).otherwise(instant(start) < instant(end))
+    one = F.coalesce(start, end)
+    return F.when(start.isNotNull() & end.isNotNull(), F.coalesce(same & earlier, F.lit(False))).otherwise(one.isNull() | precision(one).isNotNull())
+
+
+def source_folder(name: Column) -> Column:
+    """A source's folder name: lower case, other characters as one dash, never empty."""
+    safe = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9._-]+", "-"), r"^[-.]+|[-.]+$", "")
+    return F.when(safe == "", F.lit("unknown")).otherwise(safe)
+
+
+def shown_parts(parts: Column, most: int = 1_000_000) -> Column:
+    """The texts of an array of (text, synthetic, ignored) that are neither synthetic nor ignored, joined by newlines, at most `most` characters."""
+    kept = F.filter(parts, lambda p: ~F.coalesce(p["synthetic"], F.lit(False)) & ~F.coalesce(p["ignored"], F.lit(False)) & p["text"].isNotNull())
+    return F.substring(F.array_join(F.transform(kept, lambda p: p["text"]), "\n"), 1, most)

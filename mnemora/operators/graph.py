@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from mnemora.functions.labels import UNKNOWN
 
+SALTS = 8
+
 
 def supersession_edges(claims: DataFrame) -> DataFrame:
     """(claim_id, edge_type, target_id) of claims(id, supersedes)."""
@@ -77,6 +79,50 @@ def blocking_reasons(captures: DataFrame, state: DataFrame, raw_needed: DataFram
     return out.distinct()
 
 
+def grace_reasons(captures: DataFrame, changes: DataFrame, now: int, days: int) -> DataFrame:
+    """(digest, reason) of grace captures(id, digest, retention, ingested) whose days have not passed: they run from the last of
+    changes(id, at) of the class, else from ingestion, in microseconds. A grace that ends this instant is over."""
+    since = changes.groupBy("id").agg(F.max("at").alias("__at"))
+    origin = F.coalesce("__at", "ingested")
+    young = captures.where("retention = 'grace' and digest is not null").join(since, "id", "left").where(origin > now - days * 86_400_000_000)
+    return young.select("digest", F.concat(F.col("id").cast("string"), F.lit(" grace period has not expired")).alias("reason")).distinct()
+
+
+def derivative_reasons(captures: DataFrame, representations: DataFrame, objects: DataFrame) -> DataFrame:
+    """(digest, reason) of derivative-only captures(id, digest, retention, required) that must keep their bytes: a representation of
+    representations(id, role, digest) is malformed or its object in objects(digest, error) is not whole, required roles are missing, or none is left."""
+    whole = objects.where("error is null").select("digest", F.lit(True).alias("__whole")).distinct()
+    rows = representations.join(whole, "digest", "left").withColumn("__ok", F.trim("role") != "")
+    shown = F.concat(F.lit(" representation '"), "role", F.lit("' is invalid"))
+    state = F.when(~F.coalesce("__ok", F.lit(False)) | F.col("digest").isNull(), F.lit(" has a malformed representation")).when(F.col("__whole").isNull(), shown)
+    only = captures.where("retention = 'derivative-only' and digest is not null")
+    bad = rows.select("id", state.alias("fault")).where("fault is not null").distinct()
+    good = rows.where(state.isNull()).select("id", "role").distinct()
+    needed = only.select("id", F.explode("required").alias("role"))
+    missing = needed.join(good, ["id", "role"], "left_anti").select("id", F.concat(F.lit(" lacks required representation role: "), "role").alias("fault"))
+    bare = only.where(F.coalesce(F.size("required"), F.lit(0)) == 0).select("id").join(good.select("id"), "id", "left_anti").withColumn("fault", F.lit(" has no retained representation"))
+    return only.select("id", F.col("digest").alias("__d")).join(bad.unionByName(missing).unionByName(bare), "id").select(F.col("__d").alias("digest"), F.concat(F.col("id").cast("string"), "fault").alias("reason")).distinct()
+
+
+def retention_plan(groups: DataFrame, log: DataFrame, policy_digest: str) -> DataFrame:
+    """One row (durable_sequence, n_candidates, estimated_bytes, confirmation): what an owner confirms. The confirmation changes with the policy, the
+    log's end, the bytes, and any candidate of groups(digest, size, evictable); candidates are folded by xors and sums, so it needs no order."""
+    half = lambda a: F.conv(F.substring("digest", a, 15), 16, 10).cast("long")
+    free = groups.where("evictable").agg(
+        F.count("*").alias("n_candidates"), F.coalesce(F.sum("size"), F.lit(0).cast("long")).alias("estimated_bytes"), F.coalesce(F.bit_xor(half(1)), F.lit(0).cast("long")).alias("__x"),
+        F.coalesce(F.sum(half(16).bitwiseAND(F.lit((1 << 40) - 1))), F.lit(0).cast("long")).alias("__s"),
+    )
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("durable_sequence"))
+    said = F.concat_ws("|", F.lit(policy_digest), "durable_sequence", "n_candidates", "estimated_bytes", "__x", "__s")
+    return end.join(F.broadcast(free)).select("durable_sequence", "n_candidates", "estimated_bytes", F.sha2(said.cast("binary"), 256).alias("confirmation"))
+
+
+def candidate_ranks(groups: DataFrame, captures: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(digest, rank): the highest label of the evidence of each evictable object."""
+    of = captures.where("digest is not null").select("id", "digest").join(groups.where("evictable").select("digest"), "digest", "left_semi")
+    return of.join(ranks.select("id", "rank"), "id", "left").groupBy("digest").agg(F.max(F.coalesce("rank", F.lit(UNKNOWN))).alias("rank"))
+
+
 def retention_groups(captures: DataFrame, state: DataFrame, reasons: DataFrame) -> DataFrame:
     """(digest, size, n_evidence, n_reasons, evictable) of each object with present captures: one reason blocks all that share it."""
     gone = state.where("state <> 'present'").select(F.col("target").alias("id"))
@@ -101,8 +147,10 @@ def transitions(log: DataFrame, start: str, classes: tuple[str, ...], span: int
 def first_by_key(keys: DataFrame, key: str = "external_id", order: str = "doc_id", digest: str = "digest") -> DataFrame:
     """keys with `outcome`: `new` for a key's first row, `replay` for a later one with equal content, else `conflict`."""
     first = keys.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))).alias("__first"))
+    first = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a key of most rows is dealt over SALTS tasks
     out = F.when(F.col(order) == F.col("__first.o"), "new").when(F.col(digest).eqNullSafe(F.col("__first.d")), "replay").otherwise("conflict")
-    return keys.join(first, F.col(key).eqNullSafe(F.col("__key"))).select(*keys.columns, out.alias("outcome"))
+    salt = F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS)).cast("int")
+    return keys.join(first, F.col(key).eqNullSafe(F.col("__key")) & (salt == F.col("__salt"))).select(*keys.columns, out.alias("outcome"))
 
 
 def conflicting_keys(keys: DataFrame, key: str = "external_id", digest: str = "digest") -> DataFrame:

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from mnemora.checkpoints import cut
 from mnemora.functions import text as T
 from mnemora.functions.labels import authorized
 
@@ -38,7 +40,7 @@ def checked(query: str, limit: int) -> str:
 
 def occurrences(tokens: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
+        return F.size(tokens) - F.size(F.array_remove(tokens, phrase[0]))
     starts = F.when(F.size(tokens) >= len(phrase), F.sequence(F.lit(0), F.size(tokens) - len(phrase)))
 
     def here(i: Column) -> Column:
@@ -50,43 +52,83 @@ def occurrences(tokens: Column, phrase: list[str]) -> Column:
     return F.coalesce(F.size(F.filter(starts, here)), F.lit(0))
 
 
-def bm25(docs: DataFrame, query: str, ceiling: str, text: str = "text") -> DataFrame:
-    """docs(id, rank, text) that hold a term, with `score`. Corpus counts cover hidden rows too, as one pre-aggregated row; a
-    second pass scores row by row: no postings are shuffled."""
+def bm25(docs: DataFrame, query: str, ceiling: str, text: str = "text", title: str | None = None) -> DataFrame:
+    """(id, rank, score) of docs(id, rank, text) that hold a term; a title counts like the text, but no phrase runs from one into the other.
+
+    One pass over the texts writes each document's counts, a few numbers a row. Corpus counts cover hidden rows too and
+    come from those, as do the scores: no text is read twice, no postings are shuffled.
+    """
     phrases = terms_of(query)
     if not phrases:
-        return docs.where("false").withColumn("score", F.lit(0.0))
-    token_rows = docs.select(*docs.columns, T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("__tokens"))
-    tf = [f"__tf{i}" for i in range(len(phrases))]
-    counted = token_rows.select(*docs.columns, F.size("__tokens").alias("__dl"), *[occurrences(F.col("__tokens"), p).alias(n) for n, p in zip(tf, phrases)])
-    stats = counted.agg(F.count("*").alias("n"), F.avg("__dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(n) for n in tf]).first()
+        return docs.where("false").select("id", "rank", F.lit(0.0).alias("score"))
+    own = T.tokens(F.coalesce(F.col(text), F.lit("")))
+    if title is not None:
+        own = F.concat(T.tokens(F.coalesce(F.col(title), F.lit(""))), F.array(F.lit("\0")), own)
+    tf = [f"tf{i}" for i in range(len(phrases))]
+    split = docs.select("id", "rank", own.alias("t"))
+    counted = cut(split.select("id", "rank", (F.size("t") - int(title is not None)).alias("dl"), *[occurrences(F.col("t"), p).alias(n) for n, p in zip(tf, phrases)]))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(n) for n in tf]).first()
     score = F.lit(0.0)
     for name in tf:
         idf = F.greatest(F.log((F.lit(float(stats.n)) - stats[name] + 0.5) / (stats[name] + 0.5)), F.lit(LEAST_IDF))
-        norm = K1 * (1 - B + B * F.col("__dl") / float(stats.avgdl or 1))
+        norm = K1 * (1 - B + B * F.col("dl") / float(stats.avgdl or 1))
         score = score + idf * F.col(name) * (K1 + 1) / (F.col(name) + norm)
-    held = authorized(counted, ceiling).where(F.greatest(*[F.col(n) for n in tf], F.lit(0)) > 0)
-    return held.select(*docs.columns, score.alias("score"))
+    return authorized(counted, ceiling).where(F.greatest(*[F.col(n) for n in tf], F.lit(0)) > 0).select("id", "rank", score.alias("score"))
+
 
+def snippets(hits: DataFrame, query: str, text: str = "text", most: int = 32, marks: tuple[str, str] = ("[", "]"), cut_mark: str = " … ") -> DataFrame:
+    """hits with `snippet`: the window of `most` words of the text that holds most terms of the query, the earliest of equal ones,
+    beginning at its first hit where the text goes on far enough; terms stand between marks, a cut-off side ends in cut_mark.
 
-def like(docs: DataFrame, query: str, ceiling: str, text: str = "text") -> DataFrame:
-    return authorized(docs, ceiling).where(T.contains_folded(F.col(text), query)).withColumn("score", F.lit(0.0))
+    One small helper a row, for the few rows of a result.
+    """
+    phrases = [tuple(p) for p in terms_of(query)]
+    fold = str.maketrans(T.ACCENTED, T.FOLDED)
+
+    def one(said) -> str:
+        said = said or ""
+        spots = [(m.start(), m.end(), m[0].lower().translate(fold)) for m in re.finditer(r"[^\W_]+", said)]
+        words = [w for *_, w in spots]
+        hit = [(i, i + len(p), k) for k, p in enumerate(phrases) for i in range(len(words) - len(p) + 1) if tuple(words[i : i + len(p)]) == p]
+        last = max(0, len(words) - most)
+        first = max(sorted({min(i, last) for i, *_ in hit} | {0}), key=lambda s: (len({k for a, b, k in hit if s <= a and b <= s + most}), -s))
+        end = min(len(words), first + most)
+        inside = {i for a, b, _ in hit if first <= a and b <= end for i in range(a, b)}
+        out, at = [cut_mark if first else said[: spots[0][0]] if spots else said], spots[first][0] if spots else 0
+        for i in range(first, end):
+            a, b, _ = spots[i]
+            out.append(said[at:a] + (marks[0] + said[a:b] + marks[1] if i in inside else said[a:b]))
+            at = b
+        if spots:
+            out.append(cut_mark if end < len(words) else said[at:])
+        return "".join(out)
+
+    make = F.pandas_udf(lambda col: col.map(one), StringType())
+    return hits.withColumn("snippet", make(F.col(text)))
+
+
+def like(docs: DataFrame, query: str, ceiling: str, text: str = "text", title: str | None = None) -> DataFrame:
+    """(id, rank, score) of docs whose text or title holds the query as it is spelt."""
+    found = T.contains_folded(F.col(text), query)
+    if title is not None:
+        found = F.coalesce(found, F.lit(False)) | F.coalesce(T.contains_folded(F.col(title), query), F.lit(False))
+    return authorized(docs, ceiling).where(found).select("id", "rank", F.lit(0.0).alias("score"))
 
 
 def python_bigrams(query: str) -> list[str]:
-    kept = "".join(c.lower() for c in query[: T.GRAM_CHARS] if c.isalnum())
+    kept = "".join(c.lower() for c in query if c.isalnum())
     return sorted({kept[i : i + 2] for i in range(max(1, len(kept) - 1))}) if kept else []
 
 
-def gram_overlap(docs: DataFrame, query: str, ceiling: str, text: str = "text") -> DataFrame:
-    """docs that hold at least half of the query's character pairs, with the share as `score`. Row by row."""
+def gram_overlap(docs: DataFrame, query: str, ceiling: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """(id, rank, score) of docs that hold at least half of the query's character pairs, with the share as `score`. Row by row."""
     grams = python_bigrams(query)
     if not grams:
-        return docs.where("false").withColumn("score", F.lit(0.0))
+        return docs.where("false").select("id", "rank", F.lit(0.0).alias("score"))
     # a document of one character is the gram of that character only
-    plain = authorized(docs, ceiling).withColumn("__plain", T.alnum(F.col(text)))
+    plain = authorized(docs, ceiling).withColumn("__plain", T.alnum(F.col(text), most))
     hits = sum((F.when((F.length("__plain") > 1) == F.lit(len(g) > 1), F.contains("__plain", F.lit(g)).cast("int")).otherwise(0) for g in grams), F.lit(0))
-    return plain.withColumn("__hits", hits).where(F.col("__hits") >= max(1, (len(grams) + 1) // 2)).withColumn("score", F.col("__hits") / len(grams)).drop("__plain", "__hits")
+    return plain.withColumn("__hits", hits).where(F.col("__hits") >= max(1, (len(grams) + 1) // 2)).select("id", "rank", (F.col("__hits") / len(grams)).alias("score"))
 
 
 def top(scored: DataFrame, fetch: int, tier: int) -> DataFrame:
@@ -95,17 +137,27 @@ def top(scored: DataFrame, fetch: int, tier: int) -> DataFrame:
     return best.withColumn("tier", F.lit(tier)).withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
-def search(docs: DataFrame, query: str, limit: int = 10, ceiling: str = "personal", grams: bool | None = None) -> DataFrame:
+def search(docs: DataFrame, query: str, limit: int = 10, ceiling: str = "personal", grams: bool | None = None, title: str | None = None, windows: bool = False) -> DataFrame:
     """(id, snippet, rank, score, tier) of docs(id, rank, text), best first. Scores of different tiers do not compare: the tier
-    decides. Substrings count only where BM25 leaves room, character pairs only for CJK queries (or where grams says so)."""
+    decides. Substrings count only where BM25 leaves room, character pairs only for CJK queries (or where grams says so).
+
+    Each tier hands on at most 400 ids; texts are fetched for the rows of the result only. A snippet is the beginning of
+    the text, or with `windows` the part of it that holds the hits of the first tier.
+    """
     query = checked(query, limit)
     fetch = min(4 * MOST_ROWS, 4 * limit)
-    tiers = top(bm25(docs, query, ceiling), fetch, 1)
-    if tiers.count() < fetch:
-        tiers = tiers.unionByName(top(like(docs, query, ceiling), fetch, 2))
-    cjk = re.search("[぀-ヿ㐀-䶿一-鿿豈-﫿]", query) is not None
+    spark = docs.sparkSession
+    scored = top(bm25(docs, query, ceiling, title=title), fetch, 1)
+    found = scored.collect()  # at most 400 rows of numbers
+    tiers = spark.createDataFrame(found, scored.schema)
+    if len(found) < fetch:
+        tiers = tiers.unionByName(top(like(docs, query, ceiling, title=title), fetch, 2))
+    cjk = re.search("[぀-ヿ㐀-䶿一-鿿豈-﫿]", query) is not None
     if cjk if grams is None else grams:
         tiers = tiers.unionByName(top(gram_overlap(docs, query, ceiling), fetch, 3))
     first = F.row_number().over(W.partitionBy("id").orderBy("tier", "place"))
     once = tiers.withColumn("__n", first).where("__n = 1").orderBy("tier", "place").limit(limit)
-    return once.select("id", F.substring("text", 1, SNIPPET).alias("snippet"), "rank", "score", "tier", "place")
+    rows = docs.select("id", "text").join(F.broadcast(once), "id").withColumn("snippet", F.substring("text", 1, SNIPPET))
+    if windows:
+        rows = snippets(rows.where("tier = 1"), query).unionByName(rows.where("tier > 1"))
+    return rows.select("id", "snippet", "rank", "score", "tier", "place").orderBy("tier", "place")

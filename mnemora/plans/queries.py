@@ -157,10 +157,11 @@ _LIKE = f"select doc_id as id, doc_id % 4 as rank, text, 0.0 as score from docum
 
 @query(f"select id, left(text, 320) as snippet from ({_LIKE}) order by id limit 400")
 def like_fallback(s, d):
-    return search.top(search.like(_docs(s, d), PLAIN, "personal"), 400, 2).select("id", F.substring("text", 1, 320).alias("snippet"))
+    best = search.top(search.like(_docs(s, d), PLAIN, "personal"), 400, 2)
+    return _docs(s, d).join(F.broadcast(best.select("id")), "id").select("id", F.substring("text", 1, 320).alias("snippet"))
 
 
-_PLAIN = f"lower(regexp_replace(left(text, 200000), '{T.NOT_ALNUM}', '', 'g'))"
+_PLAIN = f"lower(regexp_replace(text, '{T.NOT_ALNUM}', '', 'g'))"
 
 
 @query(f"""select gram, count(distinct doc_id) as n_docs from (select doc_id, unnest(case when length(p) = 1 then [p] else list_transform(range(1, length(p)), lambda i: p[i:i + 1]) end) as gram
@@ -220,8 +221,8 @@ def _layers(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
     core = L.authorized(table(s, d, "documents").where("source = 'src0'").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("rank"), F.col("source").alias("title"), F.col("text").alias("snippet")), "personal")
     said = table(s, d, "conversations").where("conv_id = 1").select((F.lit(V.CONVERSATIONS_FROM) + 1000 * F.col("conv_id") + F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("snippet"))
-    hits = search.bm25(_docs(s, d), QUERY, "personal").orderBy(F.desc("score"), "id").limit(100).select("id", "score", F.lit("hit").alias("title"), F.substring("text", 1, 320).alias("snippet"))
-    hits = hits.withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+    best = search.bm25(_docs(s, d), QUERY, "personal").orderBy(F.desc("score"), "id").limit(100).withColumn("pos", F.row_number().over(W.orderBy(F.desc("score"), "id")))
+    hits = _docs(s, d).drop("rank").join(F.broadcast(best), "id").select("id", "pos", F.lit("hit").alias("title"), F.substring("text", 1, 320).alias("snippet"))
     return {"core": placed(core, "canon", F.col("id")), "continuity": placed(said, "evidence", -F.col("id")), "relevant": named(hits, "canon")}
 
 

@@ -216,3 +216,31 @@ def test_records_at_and_over_the_limit(spark, tmp_path, monkeypatch):
     (store / digest).write_bytes(b"abc")
     (store / ("0" * 64)).write_bytes(b"abcd")
     assert {r.digest: (r.error, r.content is None, r.size) for r in records.read_objects(spark, str(store), 3).collect()} == {digest: (None, False, 3), "0" * 64: ("too long", True, 4)}
+
+
+def test_snippets_and_titles(spark):
+    words = [f"w{i}" for i in range(100)]
+    words[50], words[60], words[95] = "Été", "foo-bar", "x9"
+    text = " ".join(words)
+    hits = spark.createDataFrame([(1, text), (2, "Été (x9)"), (3, None), (4, "no hit at all")], "id long, text string")
+    got = {r.id: r.snippet for r in search.snippets(hits, "ete foo-bar x9").collect()}
+    assert got[1] == " … [Été] " + " ".join(words[51:60]) + " [foo]-[bar] " + " ".join(words[61:81]) + " … "
+    assert got[2] == "[Été] ([x9])" and got[3] == "" and got[4] == "no hit at all"
+    docs = spark.createDataFrame([(1, 0, "alpha beta", "gamma"), (2, 0, "x", "beta alpha gamma"), (3, 0, "Say Hello", None)], "id long, rank int, title string, text string")
+    assert {r.id for r in search.bm25(docs, "beta-gamma", "public", title="title").collect()} == set()
+    assert {r.id for r in search.bm25(docs, "alpha-beta", "public", title="title").collect()} == {1}
+    assert [(r.id, r.tier) for r in search.search(docs, "ay hel", 5, "public", title="title").collect()] == [(3, 2)]
+    long = spark.createDataFrame([(1, 0, "a " * 3 + "b " * 50 + "needle " + "c " * 50)], "id long, rank int, text string")
+    assert "[needle]" in search.search(long, "needle", 1, "public", windows=True).first().snippet
+
+
+def test_more_text_functions(spark):
+    one = lambda **cols: spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first().asDict()
+    r = one(
+        a=T.textual_type(F.lit("Text/HTML; x")), b=T.textual_type(F.lit("text/ html")), c=T.strict_digest_of(F.lit("sha256:" + "A" * 64)), d=T.precision(F.lit("2024-02-30")), e=T.precision(F.lit("2024-02-28")),
+        f=T.is_validity(F.lit("2024-01-01"), F.lit("2024-01-02T00:00:00Z")), g=T.is_validity(F.lit("2024-01-01"), F.lit("2024-01-02")), h=T.is_validity(F.lit("2024-01-02"), F.lit("2024-01-02")),
+        i=T.is_validity(F.lit(None), F.lit("x")), j=T.source_folder(F.lit(" My/Source ")), k=T.source_folder(F.lit("..")), m=T.turn_external_id(F.lit(None), F.lit("a"), F.lit("b")),
+        n=T.shown_parts(F.expr("array(named_struct('text', 'a', 'synthetic', false, 'ignored', null), named_struct('text', 'b', 'synthetic', true, 'ignored', false), named_struct('text', 'c', 'synthetic', null, 'ignored', false))")),
+        o=T.bigrams(F.lit("a b😀c"), 3),
+    )
+    assert r == {"a": "text/html", "b": None, "c": None, "d": None, "e": "date", "f": False, "g": True, "h": False, "i": False, "j": "my-source", "k": "unknown", "m": None, "n": "a\nc", "o": ["ab"]}
