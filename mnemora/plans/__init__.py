@@ -1 +1,5 @@
 """The registered queries and their SQL."""
+
+from mnemora.plans import queries, store
+
+__all__ = ["queries", "store"]
