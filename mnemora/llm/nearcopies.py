@@ -205,8 +205,9 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
                 grams = [np.unique(h[e - n : e]).tobytes() for e, n in zip(ends.tolist(), count.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(grams, pa.binary())], ["node", "fp", "grams"])
 
-    wanted = nodes.join(groups.select("node").distinct(), "node").select("text_hash", "size", "node")
-    texts = source.select("text_hash", "size", "text").join(wanted, ["text_hash", "size"]).dropDuplicates(["text_hash", "size"]).select("node", "text")
+    no_id = F.lit(-(1 << 63))  # a node's text is read from its first row, so that a text of many copies is no hot key
+    wanted = nodes.join(groups.select("node").distinct(), "node").select(F.coalesce("first.doc_id", no_id).alias("at"), "text_hash", "size", "node")
+    texts = source.select(F.coalesce("doc_id", no_id).alias("at"), "text_hash", "size", "text").join(wanted, ["at", "text_hash", "size"]).dropDuplicates(["node"]).select("node", "text")
     rows = groups.join(texts.mapInArrow(sets, "node long, fp long, grams binary"), "node")
     links = rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b").mapInArrow(_links_of_groups(radius, least), "u long, v long")
     linked = cut(connected_components(links))
