@@ -1,12 +1,14 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Everything runs on built-in functions. A text's units are its lines and sentences, and for licence files also the
-whole text. Document frequencies of the templates' words are counted over all texts; a word of no template weighs as one
+Everything runs on built-in functions. A text's units are its lines and sentences, its paragraphs of several lines (parted by lines without
+letters or digits, so that a header inside a comment is one), and for licence files also the whole text. Document frequencies of the templates' words are counted over all texts; a word of no template weighs as one
 that no text has. A unit's licence is the template of highest cosine, from `least` up.
 
 Only the weights of the templates' words (a fixed vocabulary) reach the driver. With them it splits the vocabulary:
 words without which no unit can reach `least` (by Cauchy-Schwarz, the rest of each template's vector is too
-short) gate the texts, so that few are compared; the gate loses nothing. Scores are row by row. Licences
+short) gate the texts, so that few are compared; the gate loses nothing. Nor does the second bound: a unit whose template words
+are too small a part of its length is dropped before it is compared. Words are counted as runs of the sorted unit, so
+the work is linear in a text but for the sort. Scores are row by row. Licences
 of directories are grouped, joined to the ancestors of the distinct directories, and the
 nearest one is joined back to files on (directory, salt), so that a directory with most of the files is dealt out.
 
@@ -22,27 +24,69 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Short public notices by SPDX name.
+from mnemora.llm.shared import free_name
+
+# Public notices, headings and tags by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0 - see the LICENSE file for details"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
-    ("MIT", "Released under the MIT License"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+    ("MIT", "Released under the MIT License"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "MIT License"),
+    ("MIT", "This project is licensed under the MIT License - see the LICENSE file for details"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Proprietary", "All rights reserved"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 LEAST = 0.75
 WORD_GAP = r"[^\p{L}\p{N}]+"
 UNIT_GAP = r"\n|[.;!?]\s+"
+PARAGRAPH_GAP = r"\n[^\p{L}\p{N}\n]*\n"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 SALTS = 16
 
@@ -97,47 +141,52 @@ def gate_words(vectors: list[tuple[str, dict[str, float]]], weight: dict[str, fl
     return set(weight) - loose
 
 
-def with_own_licence(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """files with __own: the struct (score, licence) of the best unit, null below `least`."""
+def with_own_licence(files: DataFrame, name: str, least: float = LEAST) -> DataFrame:
+    """files with a column `name`: the struct (score, licence) of the best unit, null below `least`."""
     vocabulary = {w for _, t in TEMPLATES for w in _plain_words(t)}
     weight, unseen = weights(files, vocabulary)
     vectors = template_vectors(weight)
     gate = _array(gate_words(vectors, weight, least))
-    units = f"transform(concat(split(text, {_literal(UNIT_GAP)}), if(path rlike {_literal(LICENCE_FILE)}, array(text), array())), u -> {_words('u')})"
-    listed = f"transform(filter({units}, ws -> arrays_overlap(ws, {gate})), ws -> transform(array_distinct(ws), w -> struct(w as w, size(filter(ws, x -> x = w)) * coalesce({_map(weight)}[w], double({unseen!r})) as x)))"
-    dots = ", ".join(f"struct(aggregate(v, 0D, (a, s) -> a + s.x * coalesce({_map(t)}[s.w], 0D)) as dot, {_literal(name)} as name)" for name, t in vectors)
-    best = f"transform({listed}, v -> transform(array({dots}), d -> struct(round(d.dot / sqrt(aggregate(v, 0D, (a, s) -> a + s.x * s.x)), 6) as score, d.name as licence)))"
+    units = f"transform(concat(split(text, {_literal(UNIT_GAP)}), filter(split(text, {_literal(PARAGRAPH_GAP)}), u -> instr(u, '\\n') > 0), if(path rlike {_literal(LICENCE_FILE)}, array(text), array())), u -> {_words('u')})"
+    # sorted words; where a run of equal ones begins; (word, count) of each run
+    listed = f"transform(filter({units}, ws -> arrays_overlap(ws, {gate})), ws -> array_sort(ws))"
+    heads = "filter(sequence(0, size(s) - 1), i -> i = 0 or get(s, i) <> get(s, i - 1))"
+    runs = f"flatten(transform(array({heads}), h -> transform(h, (p, k) -> struct(get(s, p) as w, double(coalesce(get(h, k + 1), size(s)) - p) as n))))"
+    known = f"filter(transform(v, e -> struct(e.w as w, e.n * element_at({_map(weight)}, e.w) as x)), e -> e.x is not null)"
+    length = f"aggregate(v, 0D, (a, e) -> a + power(e.n * coalesce(element_at({_map(weight)}, e.w), double({unseen!r})), 2))"
+    sized = f"transform(transform({listed}, s -> {runs}), v -> struct({known} as own, {length} as n2))"
+    near = f"filter({sized}, u -> aggregate(u.own, 0D, (a, e) -> a + e.x * e.x) >= {(least - 1e-6) ** 2!r}D * u.n2)"
+    dots = ", ".join(f"struct(aggregate(u.own, 0D, (a, e) -> a + e.x * coalesce(element_at({_map(t)}, e.w), 0D)) as dot, {_literal(name)} as name)" for name, t in vectors)
+    best = f"transform({near}, u -> transform(array({dots}), d -> struct(round(d.dot / sqrt(u.n2), 6) as score, d.name as licence)))"
     chosen = f"array_sort(filter(flatten({best}), s -> s.score >= {least}D), (a, b) -> if(a.score <> b.score, if(a.score > b.score, -1, 1), if(a.licence < b.licence, -1, if(a.licence > b.licence, 1, 0))))"
     gated = f"arrays_overlap(split(lower(text), {_literal(WORD_GAP)}), {gate})"
-    return files.withColumn("__own", F.expr(f"case when {gated} then try_element_at({chosen}, 1) end"))
+    return files.withColumn(name, F.expr(f"case when {gated} then try_element_at({chosen}, 1) end"))
 
 
 def licence_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     """files without text, with own_license, own_score, license (own, else that of the nearest ancestor directory) and
-    found_in (that directory; null for its own licence or none)."""
-    others = [c for c in files.columns if c not in ("path", "text")]
-    names = {"own_license": "__own.licence", "own_score": "__own.score"}
-    scanned = with_own_licence(files, least).select(*[F.col(f"`{c}`") for c in [*others, "path"]], "__own")
-    scanned = scanned.withColumn("__dir", F.expr("if(instr(path, '/') > 0, regexp_replace(path, '/[^/]*$', ''), if(path is null, null, ''))"))
-    licence_files = scanned.where(F.col("__own").isNotNull() & F.col("path").rlike(LICENCE_FILE))
-    of_dir = licence_files.groupBy(F.col("__dir").alias("__at")).agg(F.min(F.struct((-F.col("__own.score")).alias("s"), F.col("__own.licence").alias("l"))).alias("best"))
-    of_dir = of_dir.select("__at", F.col("best.l").alias("__licence"))
-    parts = "split(__dir, '/')"
-    above = f"if(__dir = '', array(''), concat(transform(sequence(size({parts}), 1), k -> array_join(slice({parts}, 1, k), '/')), array('')))"
-    dirs = scanned.where("__own is null and __dir is not null").select("__dir").distinct()
-    ladder = dirs.select("__dir", F.posexplode(F.expr(above)).alias("__up", "__at"))
-    nearest = ladder.join(of_dir, "__at").groupBy("__dir").agg(F.min(F.struct("__up", "__at", "__licence")).alias("near"))
-    nearest = nearest.select("__dir", F.col("near.__at").alias("__found"), F.col("near.__licence").alias("__licence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    salted = scanned.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [*others, "path"]]), F.lit(SALTS)).cast("int"))
-    joined = salted.join(nearest, ["__dir", "__salt"], "left")
-    own = F.col("__own").isNotNull()
+    found_in (that directory; null for its own licence or none). Columns of these names are replaced, all others carried along."""
+    added = ("own_license", "own_score", "license", "found_in")
+    others = [c for c in files.columns if c not in ("path", "text", *added)]
+    own, dir_, salt = free_name(files, "own"), free_name(files, "dir"), free_name(files, "salt")
+    scanned = with_own_licence(files.select(*[F.col(f"`{c}`") for c in others], "path", "text"), own, least).drop("text")
+    scanned = scanned.withColumn(dir_, F.expr("if(instr(path, '/') > 0, regexp_replace(path, '/[^/]*$', ''), if(path is null, null, ''))"))
+    score, licence = F.col(f"{own}.score"), F.col(f"{own}.licence")
+    licence_files = scanned.where(F.col(own).isNotNull() & F.col("path").rlike(LICENCE_FILE))
+    of_dir = licence_files.groupBy(F.col(dir_).alias("at")).agg(F.min(F.struct((-score).alias("s"), licence.alias("l"))).alias("best")).select("at", F.col("best.l").alias("licence"))
+    parts = "split(dir, '/')"
+    above = f"if(dir = '', array(''), concat(transform(sequence(size({parts}), 1), k -> array_join(slice({parts}, 1, k), '/')), array('')))"
+    dirs = scanned.where(F.col(own).isNull() & F.col(dir_).isNotNull()).select(F.col(dir_).alias("dir")).distinct()
+    ladder = dirs.select("dir", F.posexplode(F.expr(above)).alias("up", "at"))
+    nearest = ladder.join(of_dir, "at").groupBy("dir").agg(F.min(F.struct("up", "at", "licence")).alias("near"))
+    nearest = nearest.select(F.col("dir").alias(dir_), F.struct("near.at", "near.licence").alias(f"{own}_near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    salted = scanned.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    joined = salted.join(nearest, [dir_, salt], "left")
+    found = F.col(own).isNotNull()
     return joined.select(
-        *[F.col(f"`{c}`") for c in others if c not in (*names, "license", "found_in")],
-        "path",
-        *[F.col(source).alias(name) for name, source in names.items()],
-        F.when(own, F.col("__own.licence")).otherwise(F.col("__licence")).alias("license"),
-        F.when(~own, F.col("__found")).alias("found_in"),
-    )
+        *[F.col(f"`{c}`") for c in others], "path", licence.alias("own_license"), score.alias("own_score"),
+        F.when(found, licence).otherwise(F.col(f"{own}_near.licence")).alias("license"), F.when(~found, F.col(f"{own}_near.at")).alias("found_in"),
+    )
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
@@ -165,7 +214,7 @@ present as (select distinct r, w from (select r, unnest({words('text')}) as w fr
 n as (select count(text) as n from files),
 weight as (select v.w, ln((1 + n) / (1 + count(p.r))) + 1 as x from (select distinct w from t_words) v cross join n left join present p on p.w = v.w group by v.w, n),
 vectors as (select t, name, t_words.w, tf * x / sqrt(sum((tf * x) * (tf * x)) over (partition by t)) as x from t_words join weight using (w)),
-units as (select r, unnest(regexp_split_to_array(text, {q(UNIT_GAP)})) as u from files union all select r, text from placed where is_licence),
+units as (select r, unnest(regexp_split_to_array(text, {q(UNIT_GAP)})) as u from files union all select r, u from (select r, unnest(regexp_split_to_array(text, {q(PARAGRAPH_GAP)})) as u from files) where contains(u, chr(10)) union all select r, text from placed where is_licence),
 numbered as (select row_number() over () as k, r, {words('u')} as ws from units),
 word_rows as (select k, r, unnest(ws) as w from numbered where list_has_any(ws, (select list(distinct w) from t_words))),
 tfs as (select k, r, w, count(*) as tf from word_rows group by all),

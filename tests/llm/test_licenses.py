@@ -29,7 +29,7 @@ def cosine(files):
     templates = [(n, vector(t)) for n, t in TEMPLATES]
     out = []
     for path, text in files:
-        units = re.split(r"\n|[.;!?]\s+", text) if text is not None else []
+        units = re.split(r"\n|[.;!?]\s+", text) + [u for u in re.split(r"\n[^\w\n]*\n", text.replace("_", "-")) if "\n" in u] if text is not None else []
         if text is not None and re.search(r"(?i)(^|/)(licen[cs]e|copying)[^/]*$", path or ""):
             units.append(text)
         found = []
@@ -65,6 +65,58 @@ def test_inheritance(spark):
     assert licence_scan(spark.createDataFrame([], "id int, path string, text string")).count() == 0
 
 
+HEADERS = {
+    "GPL-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY.""",
+    "Apache-2.0": """/*
+ * Copyright 2020 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */""",
+    "MIT": "// SPDX-License-Identifier: MIT\nint main() { return 0; }",
+    "CC-BY-4.0": "Words.\nThis work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-3-Clause": "// Copyright 2009. \n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n",
+}
+
+
+def test_real_headers(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF_MORE}/documents.parquet").select("text").collect()]
+    files = [(f"d/{i}.txt", t) for i, t in enumerate(texts)] + [(f"h/{n}.c", t) for n, t in HEADERS.items()]
+    files += [("p/readme.md", "This project is licensed under the MIT License - see the LICENSE file for details."), ("q/LICENSE", "MIT License\n\nCopyright (c) 2020 A. Nyone\n")]
+    got = {r.path: r.own_license for r in licence_scan(spark.createDataFrame(files, "path string, text string")).where("path not like 'd/%'").collect()}
+    assert got == {f"h/{n}.c": n for n in HEADERS} | {"p/readme.md": "MIT", "q/LICENSE": "MIT"}
+
+
+def test_a_megabyte_without_a_sentence_end(spark):
+    import time
+
+    long = "license released " + " ".join(f"w{i % 50000}" for i in range(150_000))
+    df = spark.createDataFrame([("a", long), ("b", "Released under the MIT License")], "path string, text string")
+    licence_scan(df.limit(0)).collect()
+    began = time.time()
+    assert {r.path: r.license for r in licence_scan(df).collect()} == {"a": None, "b": "MIT"}
+    assert len(long) > 900_000 and time.time() - began < 30
+
+
+def test_clashing_columns(spark):
+    schema = "path string, text string, __own string, __dir string, __salt string, at string, dir string, tags map<string,string>, own_score string"
+    out = licence_scan(spark.createDataFrame([("a/b", "Released under the MIT License", "1", "2", "3", "4", "5", {"a": "b"}, "6"), (None, None, *[None] * 7)], schema))
+    assert out.columns == ["__own", "__dir", "__salt", "at", "dir", "tags", "path", "own_license", "own_score", "license", "found_in"]
+    assert sorted(map(tuple, out.collect()), key=str) == [("1", "2", "3", "4", "5", {"a": "b"}, "a/b", "MIT", 1.0, "MIT", None), (*[None] * 11,)]
+
+
 def test_query_matches_its_sql(spark):
     got = sorted(map(tuple, queries.op1_license_scan(spark, SF_MORE).collect()), key=str)
     db = duckdb.connect()
