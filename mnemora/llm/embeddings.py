@@ -3,19 +3,20 @@
 A vector is described by its PREFIX nearest pivots, in order of nearness. Two vectors are candidates if
 they share at least SHARED of them or have the same nearest one. An inverted list for each (label, pivot) holds the vectors; since
 two sets of PREFIX that share SHARED must share one of their first PREFIX - SHARED + 1 by any fixed
-order, only those and the nearest one are listed. A list counts the shared pivots of its pairs on bit masks, then verifies
-the candidates' cosine in double precision. A pair is judged only in the first list that has both, so
-each link counts once. Lists over `cap` are dealt into pairs of parts; tasks return a
-count and a root for each vector, never pairs. Equal vectors are one node with a multiplicity.
+order, only those and the nearest one are listed. A list's candidates are verified by their cosine in double precision; as a
+matrix product is the cheaper test, it is made first, and shared pivots are counted for the pairs that pass it. A pair
+is judged only in the first list that has both, so each link counts once. Lists over `cap` are dealt into pairs of parts; tasks return a
+count and a root for each vector, never pairs. Equal vectors are one node with a multiplicity. Vectors travel in their own type.
 
-Pivots are up to PIVOTS of SEEN distinct vectors, in the order of a hash, no two with a cosine of APART or more:
+Pivots are distinct vectors in the order of a hash, no two with a cosine of APART or more:
 a dense cluster gets one pivot, so all its pairs are candidates, and the other pivots still tell
-its members from the rest. Pivots from inside it would be nearly equidistant, and their order chance.
-Every vector is indexed.
+its members from the rest. Pivots from inside it would be nearly equidistant, and their order chance. There is a pivot for
+each EACH vectors, PIVOTS at least and MOST at most, chosen from 8 times as many: with up to 500,000 vectors lists keep their length,
+beyond that they grow in proportion, and a list is as many pairs as its members squared. Every vector is indexed.
 
 Edge cases: a null label, or a vector that is null, zero, or has null or non-finite components, links with
 nothing; vectors of different length never link; repeated rows link with one another. A
-null vec_id takes part but names no component that has another id. Empty in, empty out.
+null vec_id takes part but names no component that has another id. Columns of any other name are left out. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -29,10 +30,9 @@ from mnemora.llm.components import connected_components
 from mnemora.llm.shared import cut, only
 from mnemora.llm.simhash import in_parts
 
-PIVOTS = 256
-SEEN = 2048
+PIVOTS, MOST, EACH = 256, 4096, 128
 APART = 0.5
-PREFIX = 8
+PREFIX = 10
 SHARED = 3
 CAP = 2048
 
@@ -67,29 +67,28 @@ def _local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _masks(sets: np.ndarray, pivots: int) -> np.ndarray:
-    words = -(-pivots // 64)
-    out = np.zeros((len(sets), words), dtype=np.uint64)
-    for k in range(sets.shape[1]):
-        ok = sets[:, k] >= 0
-        np.bitwise_or.at(out, (np.flatnonzero(ok), sets[ok, k] // 64), np.uint64(1) << (sets[ok, k] % 64).astype(np.uint64))
-    return out
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many entries each row of a has in common with that row of b; entries of a row differ, -1 is none."""
+    return ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0)).sum(axis=(1, 2))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOTS, prefix: int = PREFIX, shared: int = SHARED, cap: int = CAP) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int | None = None, prefix: int = PREFIX, shared: int = SHARED, cap: int = CAP) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = vectors.sparkSession
-    rows = only(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), "label")
+    kind = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"
+    rows = only(vectors, "vec_id", "embedding", "label").select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), "label")
     finite = F.expr("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))") & F.expr("exists(embedding, x -> x <> 0)")
     usable = F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
     rows = rows.withColumn("__ok", usable)
     same = ["label", "embedding"]
     nodes = rows.where("__ok").groupBy(*same).agg(F.min("vec_id").alias("first"), F.count("*").alias("times"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(max(SEEN, pivots)).collect()
+    if pivots is None:
+        pivots = min(MOST, max(PIVOTS, nodes.count() // EACH))
+    chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(8 * pivots).toArrow().column(0)
     points: dict[int, np.ndarray] = {}  # by length of vector
-    for r in chosen:
-        points.setdefault(len(r.embedding), []).append(r.embedding)
+    for x in chosen.to_pylist():
+        points.setdefault(len(x), []).append(x)
     points = {n: _apart(x, pivots) for n, x in points.items()}
     listed = prefix - shared + 1
 
@@ -100,11 +99,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
             for n in {len(x) for x in lists} & points.keys():
                 own = np.flatnonzero([len(x) == n for x in lists])
                 dots = _unit([lists[i] for i in own]) @ points[n].T
-                top = np.argsort(-dots, axis=1, kind="stable")[:, :prefix]
-                near[own, : top.shape[1]] = top
+                top = np.argpartition(-dots, min(prefix, dots.shape[1]) - 1, axis=1)[:, :prefix] if dots.shape[1] > prefix else np.tile(np.arange(dots.shape[1]), (len(own), 1))
+                order = np.argsort(-np.take_along_axis(dots, top, axis=1), axis=1, kind="stable")
+                near[own, : top.shape[1]] = np.take_along_axis(top, order, axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int64()))], [*batch.schema.names, "near"])
 
-    described = nodes.select("node", "label", "times", "embedding").mapInArrow(describe, f"node long, label {dict(rows.dtypes)['label']}, times long, embedding array<double>, near array<long>")
+    described = nodes.select("node", "label", "times", "embedding").mapInArrow(describe, f"node long, label {dict(rows.dtypes)['label']}, times long, embedding array<{kind}>, near array<long>")
     real = F.filter("near", lambda x: x >= 0)
     by_pivot = F.array_sort(F.array_union(F.slice(F.array_sort(real), 1, listed), F.slice(real, 1, 1)))
     members = described.withColumn("width", F.size("embedding")).withColumn("listed", by_pivot)
@@ -116,30 +116,24 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int = PIVOT
         node, times = table.column("node").to_numpy(), table.column("times").to_numpy()
         x = _unit(table.column("embedding").to_pylist())
         near = np.array(table.column("near").to_pylist(), dtype=np.int64)
-        full = _masks(near, pivots)
-        first = np.full((len(node), listed + 1), -1, dtype=np.int64)
+        before = np.full((len(node), listed + 1), -1, dtype=np.int64)
         for r, own_list in enumerate(table.column("listed").to_pylist()):
-            first[r, : len(own_list)] = own_list
-        first[first >= pivot] = -1  # what is left are the lists before this one
-        earlier = _masks(first, pivots)
+            before[r, : len(own_list)] = own_list
+        before[before >= pivot] = -1  # what is left are the lists before this one
         need = min(shared, int((near >= 0).sum(axis=1).min()))
         left = np.flatnonzero(own == a)
         right = np.flatnonzero(own == b)
         links = np.zeros(len(node), dtype=np.int64)
         pairs = []
-        for s in range(0, len(left), 512):
-            i = left[s : s + 512]
-            counts = np.zeros((len(i), len(right)), dtype=np.uint8)
-            before = np.zeros((len(i), len(right)), dtype=bool)
-            for w in range(full.shape[1]):
-                counts += np.bitwise_count(full[i, w][:, None] & full[right, w])
-                before |= (earlier[i, w][:, None] & earlier[right, w]) != 0
-            found = ((counts >= need) | (near[i, 0][:, None] == near[right, 0])) & ~before
-            found &= x[i] @ x[right].T >= least
+        for s in range(0, len(left), 128):
+            i = left[s : s + 128]
+            close = x[i] @ x[right].T >= least
             if a == b:
-                found &= i[:, None] < right
-            p, q = np.nonzero(found)
-            pairs.append((i[p], right[q]))
+                close &= i[:, None] < right
+            p, q = np.nonzero(close)
+            p, q = i[p], right[q]
+            found = (_shared(before[p], before[q]) == 0) & ((near[p, 0] == near[q, 0]) | (_shared(near[p], near[q]) >= need))
+            pairs.append((p[found], q[found]))
         p, q = np.concatenate([u for u, _ in pairs] or [[]]).astype(int), np.concatenate([v for _, v in pairs] or [[]]).astype(int)
         links += np.bincount(p, times[q], len(node)).astype(np.int64) + np.bincount(q, times[p], len(node)).astype(np.int64)
         root = _local_roots(len(node), p, q)

@@ -65,5 +65,25 @@ def test_recall_in_a_hot_cluster(spark):
         assert links > 30000 and found / links >= 0.97
 
 
+def test_recall_of_a_set_of_queries(spark):
+    """Every vector against all rows of the largest table and copies at cosines about 0.93, by brute force; and with few and many pivots."""
+    rng = np.random.default_rng(8)
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    for i, (_, v, label) in enumerate(rows[:1500]):
+        x = np.array(v) + rng.normal(size=len(v)) * np.linalg.norm(v) / len(v) ** 0.5 * rng.uniform(0.2, 0.42)
+        rows.append((10**6 + i, [float(y) for y in x.astype(np.float32)], label))
+    unit = np.array([r[1] for r in rows], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    ids = np.array([r[0] for r in rows])
+    df = spark.createDataFrame([(*r, "x") for r in rows], ROWS)
+    for pivots in (None, 32, 1024):
+        got = {r.vec_id: r.n_links for r in near_duplicates(df, pivots=pivots).collect()}
+        want = {int(ids[i]): int(((unit @ unit[i] >= 0.93) & (label == label[i])).sum()) - 1 for i in range(len(ids))}
+        assert all(got[i] <= n for i, n in want.items())
+        print("queries", len(want), "links", sum(want.values()), "pivots", pivots, "recall", sum(got[i] for i in want) / max(1, sum(want.values())))
+        assert sum(want.values()) > 100 and sum(got[i] for i in want) >= 0.97 * sum(want.values())
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
