@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.llm.shared import free_name
+from mnemora.llm.shared import cut, free_name
 
 # Public notices, headings and tags by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
@@ -170,7 +170,9 @@ def licence_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     others = [c for c in files.columns if c not in ("path", "text", *added)]
     own, dir_, salt = free_name(files, "own"), free_name(files, "dir"), free_name(files, "salt")
     scanned = with_own_licence(files.select(*[F.col(f"`{c}`") for c in others], "path", "text"), own, least).drop("text")
+    scanned = scanned.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     scanned = scanned.withColumn(dir_, F.expr("if(instr(path, '/') > 0, regexp_replace(path, '/[^/]*$', ''), if(path is null, null, ''))"))
+    scanned = cut(scanned)  # rows without text: each text is scored once, not for its directory and its heirs again
     score, licence = F.col(f"{own}.score"), F.col(f"{own}.licence")
     licence_files = scanned.where(F.col(own).isNotNull() & F.col("path").rlike(LICENCE_FILE))
     of_dir = licence_files.groupBy(F.col(dir_).alias("at")).agg(F.min(F.struct((-score).alias("s"), licence.alias("l"))).alias("best")).select("at", F.col("best.l").alias("licence"))
@@ -180,8 +182,7 @@ def licence_scan(files: DataFrame, least: float = LEAST) -> DataFrame:
     ladder = dirs.select("dir", F.posexplode(F.expr(above)).alias("up", "at"))
     nearest = ladder.join(of_dir, "at").groupBy("dir").agg(F.min(F.struct("up", "at", "licence")).alias("near"))
     nearest = nearest.select(F.col("dir").alias(dir_), F.struct("near.at", "near.licence").alias(f"{own}_near"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    salted = scanned.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
-    joined = salted.join(nearest, [dir_, salt], "left")
+    joined = scanned.join(nearest, [dir_, salt], "left")
     found = F.col(own).isNotNull()
     return joined.select(
         *[F.col(f"`{c}`") for c in others], "path", licence.alias("own_license"), score.alias("own_score"),
