@@ -244,3 +244,48 @@ def test_more_text_functions(spark):
         o=T.bigrams(F.lit("a b😀c"), 3),
     )
     assert r == {"a": "text/html", "b": None, "c": None, "d": None, "e": "date", "f": False, "g": True, "h": False, "i": False, "j": "my-source", "k": "unknown", "m": None, "n": "a\nc", "o": ["ab"]}
+
+
+def test_front_matter_and_policies(spark):
+    from mnemora.sources import frontmatter as Y
+
+    rows = [("title: x\nat: 2024-01-01\ntags: [a, b]\nx: {claims: [{id: 1}]}", None), ("a: 1\na: 2", None), ("- 1", None), (None, "too long"), ("a: " + "[" * 70 + "]" * 70, None), ("1: x", None), ("a: &a x\n" + "b: [" + "*a, " * 60 + "]", None)]
+    got = Y.with_front(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, front_matter string, error string")).orderBy("i").collect()
+    assert json.loads(got[0].front) == {"title": "x", "at": "2024-01-01", "tags": ["a", "b"], "x": {"claims": [{"id": 1}]}} and got[0].error is None
+    assert [r.front for r in got[1:]] == [None] * 6 and got[3].error == "too long"
+    assert all(w in r.error for w, r in zip(("repeated", "mapping", "deep", "no text", "aliases"), [got[1], got[2], got[4], got[5], got[6]]))
+    assert Y.context_policy(b'{"budget_chars": 30, "core_chars": 10, "continuity_chars": 10, "relevant_chars": 10}')["budgets"]["total"] == 30
+    assert Y.retention_policy(b'{"grace_days": 3, "holds": {"evidence": ["a"]}}')["holds"]["evidence"] == ["a"]
+    for bad in (b'{"budget_chars": 29, "core_chars": 10, "continuity_chars": 10, "relevant_chars": 10}', b'{"zz": 1}', b'{"core_chars": true}'):
+        with pytest.raises(ValueError):
+            Y.context_policy(bad)
+    with pytest.raises(ValueError):
+        Y.retention_policy(b'{"grace_days": 1, "automatic_eviction": true}')
+
+
+def test_refresh_matches_a_fold_of_the_whole_log(spark, tmp_path):
+    from mnemora.streaming import refresh
+
+    rng = random.Random(9)
+    kinds = [*folds.STATES, "representation.added", "retention.changed"]
+    rows = [(rng.randrange(9), i, rng.choice(kinds)) for i in range(120)]
+    schema, source = "target long, seq long, kind string", f"{tmp_path}/in"
+    for k in range(3):
+        spark.createDataFrame(rows[40 * k : 40 * k + 40], schema).coalesce(1).write.mode("append").json(source)
+        refresh.refresh(spark.readStream.schema(schema).json(source), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination(120)
+    want = folds.effective_state(spark.createDataFrame(rows, schema)).select(*refresh.FOLDED)
+    assert sorted(map(tuple, refresh.current(spark, f"{tmp_path}/out").select(*refresh.FOLDED).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_finished_turns_and_kept_stores(spark, tmp_path):
+    said = spark.createDataFrame([("h", "s", "1", "u", None), ("h", "s", "1", "u", "")], "host string, session_id string, turn_id string, user_text string, assistant_text string")
+    a, b = turns.with_identity(said).collect()
+    assert a.external_id == b.external_id and a.digest != b.digest
+    store = f"{tmp_path}/store"
+    turns.store_batch(store, said.limit(1), 0)
+    turns.store_batch(store, said, 1)
+    assert spark.read.parquet(f"{store}/new").count() == 1 and spark.read.parquet(f"{store}/conflict").count() == 1
+    (tmp_path / "store" / "new" / "batch=0").rename(tmp_path / "store" / "new" / "batch=zero")
+    with pytest.raises(Exception):
+        turns.store_batch(store, said, 2)
+    assert turns.spark_seconds("7 days") == 604800
