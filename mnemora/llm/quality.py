@@ -2,7 +2,8 @@
 
 Every word has a sparse random index vector. A word's own vector is the sum of the index
 vectors of the words around it (and of its own) over all documents, centred and scaled to
-length one; words share VOCABULARY hash buckets, so the table has a fixed size. A
+length one; words share hash buckets, one for each BYTES_EACH of text, VOCABULARY at least and MOST at most, so that
+the table grows with the corpus to a size that can be broadcast. A
 document is the mean of its words' vectors. A two-layer network in numpy is fitted on at
 most `sample` labelled rows and its temperature on a part of them kept aside.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from mnemora.llm.shared import free_name, only
 from mnemora.llm.textkernels import WORDS_AND_MARKS, chunks_of, joined, token_hashes, tokens
 
-VOCABULARY = 8192
+VOCABULARY, MOST, BYTES_EACH = 8192, 1 << 17, 1 << 16
 DIM = 64
 FEATURES = DIM + 3
 NONZEROS = 2
@@ -34,43 +35,50 @@ SAMPLE = 20_000
 """Most labelled rows that a fit uses, by the order of a hash of doc_id."""
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+def index_vectors(vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzeros of each bucket's index vector."""
     rng = np.random.default_rng(20)
-    return rng.integers(0, DIM, (VOCABULARY, NONZEROS)), rng.choice([-1.0, 1.0], (VOCABULARY, NONZEROS))
+    return rng.integers(0, DIM, (vocabulary, NONZEROS)), rng.choice([-1.0, 1.0], (vocabulary, NONZEROS))
 
 
-def buckets_of(texts: list[bytes]):
+def buckets_for(docs: DataFrame) -> int:
+    """A power of two."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST, max(VOCABULARY, 1 << (size // BYTES_EACH).bit_length()))
+
+
+def buckets_of(texts: list[bytes], vocabulary: int = VOCABULARY):
     """For chunks of the texts: range of texts, bucket of each token, first token of each text (and the end)."""
     for a, b in chunks_of(texts):
         data, begins = joined(texts[a:b])
         starts, ends = tokens(data, WORDS_AND_MARKS)
-        yield a, b, (token_hashes(data, starts, ends) % np.uint64(VOCABULARY)).astype(np.int64), np.searchsorted(starts, begins)
+        yield a, b, (token_hashes(data, starts, ends) % np.uint64(vocabulary)).astype(np.int64), np.searchsorted(starts, begins)
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """[VOCABULARY, DIM] from all documents. Tasks add up locally and send a table of fixed size; the
+def word_vectors(docs: DataFrame, vocabulary: int | None = None) -> np.ndarray:
+    """[vocabulary, DIM] from all documents. Tasks add up locally and send a table of fixed size; the
     slices of the tables are added as they stream in."""
-    place, sign = index_vectors()
+    vocabulary = buckets_for(docs) if vocabulary is None else vocabulary
+    place, sign = index_vectors(vocabulary)
 
     def add_up(batches):
-        total = np.zeros(VOCABULARY * (DIM + 1))
+        total = np.zeros(vocabulary * (DIM + 1))
         for batch in batches:
-            for _, _, bucket, at in buckets_of(_bytes(batch.column(0))):
+            for _, _, bucket, at in buckets_of(_bytes(batch.column(0)), vocabulary):
                 text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                total[VOCABULARY * DIM :] += np.bincount(bucket, minlength=VOCABULARY)
+                total[vocabulary * DIM :] += np.bincount(bucket, minlength=vocabulary)
                 for reach in range(1, REACH + 1):
                     near = text_of[reach:] == text_of[:-reach]
                     left, right = bucket[:-reach][near], bucket[reach:][near]
                     for t in range(NONZEROS):
                         for own, other in ((left, right), (right, left)):
-                            total[: VOCABULARY * DIM] += np.bincount(own * DIM + place[other, t], sign[other, t], minlength=VOCABULARY * DIM)
-        each = VOCABULARY // SLICES
-        sums, seen = total[: VOCABULARY * DIM].reshape(SLICES, each * DIM), total[VOCABULARY * DIM :].reshape(SLICES, each)
+                            total[: vocabulary * DIM] += np.bincount(own * DIM + place[other, t], sign[other, t], minlength=vocabulary * DIM)
+        each = vocabulary // SLICES
+        sums, seen = total[: vocabulary * DIM].reshape(SLICES, each * DIM), total[vocabulary * DIM :].reshape(SLICES, each)
         rows = [np.concatenate(x).astype(np.float32).tobytes() for x in zip(sums, seen)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], ["slice", "sums"])
 
@@ -82,14 +90,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "sums"])
 
     rows = only(docs, "text").mapInArrow(add_up, "slice int, sums binary").repartition("slice").mapInArrow(merge, "slice int, sums binary").collect()
-    each = VOCABULARY // SLICES
-    vectors, seen = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
+    each = vocabulary // SLICES
+    vectors, seen = np.zeros((vocabulary, DIM)), np.zeros(vocabulary)
     for r in rows:
         x = np.frombuffer(bytes(r.sums))
         vectors[r.slice * each : (r.slice + 1) * each] = x[: each * DIM].reshape(each, DIM)
         seen[r.slice * each : (r.slice + 1) * each] = x[each * DIM :]
     for t in range(NONZEROS):
-        vectors[np.arange(VOCABULARY), place[:, t]] += sign[:, t] * np.maximum(seen, 1) * 2 * REACH
+        vectors[np.arange(vocabulary), place[:, t]] += sign[:, t] * np.maximum(seen, 1) * 2 * REACH
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     if seen.sum():
         vectors -= (seen[:, None] * vectors).sum(axis=0) / seen.sum()
@@ -100,7 +108,7 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     """The mean of the words' vectors of each text, with the mean's length, the share of words that repeat
     the one before, and log(1 + words); zeros without words. The mean of varied words is short."""
     out = np.zeros((len(texts), FEATURES), dtype=np.float32)
-    for a, b, bucket, at in buckets_of(texts):
+    for a, b, bucket, at in buckets_of(texts, len(vectors)):
         n = np.diff(at)
         full = np.flatnonzero(n)
         if not len(full):

@@ -102,6 +102,23 @@ def test_repeated_labelled_rows_give_one_model(spark):
     assert np.allclose(nets[0].a, nets[1].a, atol=1e-3) and abs(nets[0].temperature - nets[1].temperature) < 0.05
 
 
+def test_more_buckets_part_words_and_keep_the_accuracy(spark):
+    from mnemora.llm import quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(2500)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    assert quality.buckets_for(docs) == VOCABULARY and quality.buckets_for(docs.limit(0)) == VOCABULARY
+    vectors = word_vectors(docs, 1 << 15)
+    assert vectors.shape == (1 << 15, DIM)
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in rows}
+    ids = sorted(marks)
+    x = pooled([(rows[d] or "").encode() for d in ids], vectors)
+    y = np.array([float(marks[d]) for d in ids])
+    half = len(ids) // 2
+    assert ((fit(x[:half], y[:half]).scores(x[half:]) >= 0.5) == y[half:]).mean() > 0.95
+
+
 def test_temperature_lowers_the_loss_of_an_overconfident_fit():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, FEATURES))
