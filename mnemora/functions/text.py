@@ -19,13 +19,14 @@ TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "applic
 TEXT_ENDS = ("+json", "+xml", "+yaml")
 UUID7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
-# Conservative credential shapes by the name of their detector.
+# Conservative credential shapes of our own, by the name of their detector.
 CREDENTIALS = (
     ("bearer-token", r"[Aa]uthorization:\s*[Bb]earer\s+[A-Za-z0-9._~+/-]{16,}"),
     ("github-token", r"gh[pousr]_[A-Za-z0-9]{32,}"),
     ("openai-key", r"sk-(?:proj-)?[A-Za-z0-9_-]{20,}"),
     ("aws-key", r"AKIA[0-9A-Z]{16}"),
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("assigned-secret", r"(?i)\b(?:token|secret|password|passwd|api_?key)\s*[=:]\s*[\"'][0-9A-Za-z+/_=-]{16,}[\"']"),
 )
 # Dashed names and the dotted names they stand for.
 ALIASES = ("representation-added", "retention-changed", "payload-evicted", "payload-missing-observed", "payload-restored", "payload-redacted")
