@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.components import connected_components
-from mnemora.llm.shared import cut, only
+from mnemora.llm.shared import cut, join_spread, only
 from mnemora.llm.simhash import in_parts
 
 PIVOTS, MOST, EACH = 256, 4096, 128
@@ -147,9 +147,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int | None
     plain = nodes.select("node", "first", "times").join(counts, "node", "left").join(parts, "node", "left")
     plain = cut(plain.select("node", "first", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
     heads = plain.groupBy("component").agg(F.min("first").alias("head"))
-    by_node = cut(plain.join(heads, "component").select("node", "n_links", "head"))
-    by_vector = nodes.select("node", *same).join(by_node, "node").drop("node")
-    linked = rows.where("__ok").join(by_vector, same).select("vec_id", "n_links", F.col("head").alias("component_id"))
+    by_node = plain.join(heads, "component").select("node", "n_links", "head")
+    by_vector = cut(nodes.select("node", "times", *same).join(by_node, "node").drop("node"))
+    linked = join_spread(rows.where("__ok"), by_vector, same, "times", rows.count()).select("vec_id", "n_links", F.col("head").alias("component_id"))
     alone = rows.where("not __ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

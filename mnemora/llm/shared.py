@@ -1,37 +1,14 @@
-"""What the operators share: the checkpoint folder, row sizes and column checks."""
+"""What the operators share: columns, kept rows, hot keys and folders."""
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemora.checkpoints import cut, ensure_checkpoint_dir, free_name
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder in spark.checkpoint.dir. Only a local master that names none gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="mnemora-checkpoint-")
-    sc.setCheckpointDir(named)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder: later plans read it, and a lost executor costs nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def parts_for(spark: SparkSession, rows: int, rows_each: int) -> int:
-    """Partitions so that each has about rows_each, and never fewer than the cluster can use at once for large inputs."""
-    by_rows = -(-rows // rows_each)
-    return max(1, min(by_rows, 1_000_000))
+__all__ = ["cut", "ensure_checkpoint_dir", "free_name", "join_spread", "keep_first", "only", "remove", "utf8"]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -44,14 +21,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that df does not have, in any case of letters."""
-    taken, name = {c.lower() for c in df.columns}, f"__{base}"
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def keep_first(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of docs for each (doc_id, text_hash) of chosen, all columns as they were; docs is shuffled once."""
     by = [free_name(docs, "id"), free_name(docs, "hash")]
@@ -68,3 +37,12 @@ def remove(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], times: str, total: int, salts: int = 64) -> DataFrame:
+    """rows joined with one, which has a row a key and how many rows have it in `times`. Keys of over a thousandth of all rows, so
+    fewer than a thousand, are broadcast, and their rows are dealt over `salts` tasks."""
+    hot = F.broadcast(one.where(F.col(times) > max(500, total // 1000)).select(*keys, F.lit(salts).alias("__salts")))
+    dealt = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("__salts", F.lit(1))).cast("int"))
+    spread = one.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
+    return dealt.drop("__salts").join(spread.drop("__salts"), [*keys, "__salt"]).drop("__salt", times)

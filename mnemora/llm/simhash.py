@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.bitslice import linked_rows
 from mnemora.llm.components import connected_components
-from mnemora.llm.shared import cut, keep_first, only
+from mnemora.llm.shared import cut, join_spread, keep_first, only
 
 BLOCKS = 4
 _FP = "doc_id long, text_hash long, fp long"
@@ -141,13 +141,13 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, cap: int
     doc_id. kept is true for the group's first row by (doc_id, text_hash); rows equal in both are alike."""
     prints = cut(fingerprints(docs, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"))
-    nodes = cut(prints.groupBy("fp").agg(F.min(order).alias("first")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("times")))
     parts = cut(connected_components(links(nodes.select("fp"), radius, cap)))
     named = nodes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = cut(named)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))
-    by_fp = cut(named.select("fp", "component").join(heads, "component").select("fp", "head"))
-    return prints.join(by_fp, "fp").select(
+    by_fp = cut(named.select("fp", "component", "times").join(heads, "component").select("fp", "head", "times"))
+    return join_spread(prints, by_fp, ["fp"], "times", prints.count()).select(
         "doc_id", "text_hash", "fp", F.col("head.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))).alias("kept")
     )
 
