@@ -89,6 +89,26 @@ def rendered(packed: DataFrame) -> DataFrame:
     return packed.withColumn("block", block)
 
 
+def rendered_pack(packed: DataFrame, titles: dict[str, str] | None = None) -> DataFrame:
+    """One row (markdown): all layers of packed(layer, pos, source_kind, source_id, title, snippet), numbered, each item as untrusted data.
+
+    A pack is at most its budget of characters, so it fits one row.
+    """
+    heads = {n: n.capitalize() for n in LAYERS} | (titles or {})
+    source = html_escape(F.concat_ws(":", "source_kind", F.col("source_id").cast("string")), quotes=True)
+    label = html_escape(F.col("sensitivity"), quotes=True) if "sensitivity" in packed.columns else F.lit("personal")
+    lines = [F.concat(F.lit('<untrusted-data source="'), source, F.lit('" sensitivity="'), label, F.lit('">')), F.concat(F.lit("Title: "), html_escape(F.col("title"))), F.lit(""), html_escape(F.col("snippet")), F.lit("</untrusted-data>"), F.lit("")]
+    items = packed.select("layer", "pos", F.concat_ws("\n", *lines).alias("block"))
+    of_layer = [F.array_sort(F.collect_list(F.when(F.col("layer") == n, F.struct("pos", "block")))).alias(n) for n in LAYERS]
+    once = items.agg(*of_layer)
+
+    def shown(n: str) -> F.Column:
+        blocks = F.array_join(F.transform(n, lambda x, i: F.concat(F.lit("### Context item "), (i + 1).cast("string"), F.lit("\n\n"), x["block"])), "\n")
+        return F.concat(F.lit(f"## {heads[n]}\n\n"), F.when(F.size(n) == 0, F.lit("No authorized context was selected for this layer.\n")).otherwise(blocks))
+
+    return once.select(F.concat_ws("\n", *[shown(n) for n in LAYERS]).alias("markdown"))
+
+
 def expand(captures: DataFrame, ranks: DataFrame, state: DataFrame, ceiling: str, max_chars: int) -> DataFrame:
     """(id, outcome, text, truncated) for every capture: above the ceiling a record does not exist, and bytes that are not present are unavailable."""
     from mnemora.functions.labels import LABELS

@@ -10,7 +10,7 @@ from mnemora.operators import constraints as K
 from mnemora.operators import folds, graph
 from mnemora.operators import projections as P
 from mnemora.operators import references as R
-from mnemora.plans.queries import _STATE, query
+from mnemora.plans.queries import _STATE, ORACLE_SQL, QUERIES, query
 from mnemora.sources import views as V
 from mnemora.sources.views import table, with_views
 from mnemora.streaming.turns import request_error
@@ -202,6 +202,10 @@ union all select 'present object is missing' from kept anti join objects using (
 union all select 'present object is damaged or of another size' from kept k join objects o using (digest) where o.error is not null or o.size <> k.size
 union all select 'object is labelled above its capture' from captures join floors using (digest) where floor > rank) select rule, count(*) as n from found group by rule""")
 def store_violations(s, d):
+    return _store_found(s, d).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _store_found(s: SparkSession, d: str) -> DataFrame:
     captures, log, claims = V.captures(s, d), V.ev_log(s, d), V.claims(s, d)
     spoilt = captures.select(
         "id", F.when(F.col("id") % 19 == 0, "odd").otherwise(F.col("kind")).alias("kind"), "retention", "digest", F.when(F.col("id") % 23 == 0, F.lit("sha256:x")).otherwise(_ref(F.col("digest"))).alias("object"),
@@ -209,11 +213,10 @@ def store_violations(s, d):
     )
     shaped = log.withColumn("was", F.lit("grace")).withColumn("becomes", F.when(F.col("seq") % 4 != 0, "durable")).withColumn("role", F.when(F.col("seq") % 6 == 0, "Not A Role").otherwise("ocr"))
     concepts = table(s, d, "documents").where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"))
-    found = K.union(
+    return K.union(
         K.capture_faults(spoilt), K.event_faults(shaped, captures.where("id % 3 <> 0")), K.claim_faults(claims.withColumn("ref", F.when(F.col("id") % 4 == 0, F.col("subject"))), concepts),
         K.material_faults(captures, folds.effective_state(log), _objects(s, d), graph.object_ranks(captures)),
     )
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query(with_views("ev_log") + """, phases as (select target, count(*) filter (kind = 'payload.evicted') as p, count(*) filter (kind = 'payload.restored') as c, count(*) filter (kind = 'payload.redacted') as a from (select seq // 3 as target, kind from ev_log) group by target having p + c + a > 0),
@@ -227,6 +230,10 @@ union all select 'promoted candidate has not one committed promotion' from ends
 union all select 'rollback has no committed promotion' from back where source not in (select txn from once) union all select 'rollback is not the inverse' from back join once on txn = source where back.rank <> once.rank
 union all select 'document is not the last commit''s' from last where after <> '1') select rule, count(*) as n from found group by rule""")
 def transaction_violations(s, d):
+    return _transactions_found(s, d).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def _transactions_found(s: SparkSession, d: str) -> DataFrame:
     log = V.ev_log(s, d)
     third = F.floor(F.col("seq") / 3)
     kinds = {"payload.evicted": "prepared", "payload.restored": "committed", "payload.redacted": "aborted"}
@@ -240,8 +247,17 @@ def transaction_violations(s, d):
     rollbacks = log.where("kind = 'payload.redacted'").select("seq", (half - 1).alias("source"), F.lit("x").alias("before"), F.col("rank").cast("string").alias("after"))
     commits = log.select(F.col("target").alias("path"), "seq", F.when(F.col("seq") % 3 != 0, F.col("rank").cast("string")).otherwise("").alias("after"))
     files = log.select(F.col("target").alias("path"), F.lit("1").alias("digest")).distinct()
-    found = K.union(K.transaction_faults(steps, planned, made), K.promotion_faults(terminals, promotions, rollbacks), K.drift(commits, files))
-    return found.groupBy("rule").agg(F.count("*").alias("n"))
+    return K.union(K.transaction_faults(steps, planned, made), K.promotion_faults(terminals, promotions, rollbacks), K.drift(commits, files))
+
+
+@query(" union all ".join(f"select rule, cast(n as bigint) as n from ({ORACLE_SQL[q]})" for q in ("validation_report", "store_violations", "transaction_violations", "object_inventory"))
+.replace("select rule, cast(n as bigint) as n from (" + ORACLE_SQL["object_inventory"] + ")", "select 'object is ' || problem as rule, count(*) as n from (" + ORACLE_SQL["object_inventory"] + ") group by problem"))
+def full_validation(s, d):
+    """All constraint families in one report. Objects that nothing refers to are no error, only a warning."""
+    base = QUERIES["validation_report"](s, d).select("rule", "n")
+    more = K.union(_store_found(s, d), _transactions_found(s, d)).groupBy("rule").agg(F.count("*").alias("n"))
+    objects = QUERIES["object_inventory"](s, d).groupBy(F.concat(F.lit("object is "), "problem").alias("rule")).agg(F.count("*").alias("n"))
+    return K.union(base, more, objects)
 
 
 _NOW, _DAYS = 1704500000000000, 1
@@ -312,3 +328,25 @@ def candidates_listed(s, d):
     before = last.groupBy("created_at").agg(F.count("*").alias("n")).select("created_at", F.coalesce(F.sum("n").over(W.orderBy("created_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     at = F.row_number().over(W.partitionBy("created_at").orderBy("target")) + F.col("before")
     return last.join(before, "created_at").select("target", "status", at.alias("position"))
+
+
+_WRONG = ("", "claim proposal sets what promotion owns", "claim proposal misses fields", "claim predicate has an invalid form", "claim object has not one typed value", "claim object number is invalid", "claim basis is invalid",
+          "claim observed_at is no time", "claim evidence is not a list of distinct ids", "claim valid is no interval", "claim supersedes is not a list of distinct ids", "claim object has other fields")
+
+
+@query(f"select doc_id, {list(_WRONG)}[doc_id % 12 + 1] as error from labels".replace('"', "'"))
+def claim_proposals(s, d):
+    """A proposal for each label, wrong in one way by id."""
+    from mnemora.operators.proposals import proposal_error
+
+    k = F.col("doc_id") % 12
+    on = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
+    uuid = F.concat(F.lit("018f0000-0000-7000-8000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    said = F.concat(
+        F.lit("{"), on(1, '"state": "active", ', ""), on(2, "", '"statement": "It is so.", '), F.lit('"predicate": '), on(3, '"Bad Predicate"', '"quality"'), F.lit(', "object": '),
+        F.when(k == 4, '{"text": "a", "boolean": true}').when(k == 5, '{"number": "x"}').when(k == 11, '{"text": "a", "unit": "kg"}').when(k == 0, '{"number": 1.5, "unit": "kg"}').otherwise('{"text": "a"}'),
+        F.lit(', "basis": '), on(6, '"guessed"', '"declared"'), F.lit(', "certainty": "confirmed", "observed_at": '), on(7, '"2024-01-01"', '"2024-01-01T00:00:00Z"'), F.lit(', "evidence": ["'), uuid, F.lit('"'),
+        F.when(k == 8, F.concat(F.lit(', {"id": "'), uuid, F.lit('", "requires": "raw"}'))).otherwise(""), F.lit('], "valid": '), on(9, '{"from": "2024-01-02", "until": "2024-01-01"}', '{"from": "2024-01-02"}'),
+        F.lit(', "supersedes": '), F.when(k == 10, '["x"]').when(k == 0, "null").otherwise("[]"), F.lit("}"),
+    )
+    return table(s, d, "labels").select("doc_id", F.coalesce(proposal_error(said), F.lit("")).alias("error"))
