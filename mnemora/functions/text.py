@@ -11,8 +11,6 @@ FOLDED = "aaaaaaceeeeiiiinooooouuuuyy"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_GAP = r"[^\p{L}\p{N}\p{Co}]+"
 NOT_ALNUM = r"[^\p{L}\p{N}]"
-GRAM_CHARS = 200_000
-"""A usual limit for `most` below."""
 CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 # Application types that hold text.
 TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml")
