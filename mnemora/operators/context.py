@@ -63,6 +63,14 @@ def recent(captures: DataFrame, session, ceiling: str, order: list) -> DataFrame
     return authorized(captures.where(kinds & (F.col("session") == session)), ceiling).orderBy(*order)
 
 
+def routed(captures: DataFrame, session: str | None = None, workspace: str | None = None) -> DataFrame:
+    """captures whose source names the session and the workspace that are given, in its own field or else in its metadata."""
+    for name, value in (("session", session), ("workspace", workspace)):
+        if value is not None:
+            captures = captures.where(F.coalesce(F.col(f"source.{name}"), F.col("source.metadata")[name]) == value)
+    return captures
+
+
 def pack(layers: dict[str, DataFrame], budgets: dict[str, int] | None = None) -> DataFrame:
     """(layer, pos, source_kind, source_id, title, snippet, truncated) of layers of items(pos, source_kind, source_id, title, snippet).
 

@@ -103,3 +103,40 @@ def paired_in_order(left: DataFrame, right: DataFrame, span: int = 1 << 16) -> D
         return with_sum_before(one, ["target"], "seq", "__one", "n", span).select("target", (F.col("n") + 1).alias("n"), F.col("seq").alias(name))
 
     return numbered(left, "left_seq").join(numbered(right, "right_seq"), ["target", "n"], "full_outer")
+
+
+def verified_events(log: DataFrame, target=None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """Events of log(seq, id, prev_id, target, kind) by (seq, id), of one target and some kinds where given. The whole chain is checked
+    first: a filter never hides a fault elsewhere."""
+    faults = chain_faults(log).limit(5).collect()
+    if faults:
+        raise ValueError(f"the event chain is broken: {[tuple(f) for f in faults]}")
+    rows = log if target is None else log.where(F.col("target") == target)
+    return (rows.where(F.col("kind").isin(*kinds)) if kinds else rows).orderBy("seq", "id")
+
+
+def one_record(records: DataFrame, id_: str) -> DataFrame:
+    """The record of an id, no row or one; two files of one id are an error."""
+    found = records.where(F.col("id") == id_)
+    if len(found.select("id").limit(2).collect()) > 1:
+        raise ValueError(f"id {id_} has more than one record")
+    return found
+
+
+def unrestored(transactions: DataFrame, evictions: DataFrame, restores: DataFrame) -> DataFrame:
+    """(target, n, problem) of aborted transactions(target, kind, seq): between its beginning and its end, each of evictions(target, seq, item, rank) must be followed
+    by a restore of the same item, in the same order, and not labelled below what it had."""
+    ends = transactions.groupBy("target").agg(*[F.max(F.when(F.col("kind") == k, F.col("seq"))).alias(k) for k in ("prepared", "committed", "aborted")]).where("aborted is not null and committed is null")
+
+    def inside(df: DataFrame) -> DataFrame:
+        return df.join(ends.select("target", "prepared", "aborted"), "target").where((F.col("seq") > F.col("prepared")) & (F.col("seq") < F.col("aborted"))).select("target", "seq", "item", "rank")
+
+    out, back = inside(evictions), inside(restores)
+    pairs = paired_in_order(out.select("target", "seq"), back.select("target", "seq"))
+    a, b = (x.select("target", F.col("seq").alias(f"{n}_seq"), F.col("item").alias(f"{n}_item"), F.col("rank").alias(f"{n}_rank")) for x, n in ((out, "left"), (back, "right")))
+    both = pairs.join(a, ["target", "left_seq"], "left").join(b, ["target", "right_seq"], "left")
+    problem = (
+        F.when(F.col("right_seq").isNull(), "not restored").when(F.col("left_seq").isNull(), "restored without eviction").when(~F.col("left_item").eqNullSafe(F.col("right_item")), "restored out of order")
+        .when(F.col("right_seq") < F.col("left_seq"), "restored before eviction").when(F.col("right_rank") < F.col("left_rank"), "labelled lower")
+    )
+    return both.select("target", "n", problem.alias("problem")).where("problem is not null")

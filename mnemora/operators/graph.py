@@ -144,13 +144,20 @@ def transitions(log: DataFrame, start: str, classes: tuple[str, ...], span: int
     return chained.select("target", F.aggregate("__maps", F.lit(start), lambda s, m: F.coalesce(F.element_at(F.map_from_entries(m["__map"]), s), s)).alias("retention"))
 
 
-def first_by_key(keys: DataFrame, key: str = "external_id", order: str = "doc_id", digest: str = "digest") -> DataFrame:
-    """keys with `outcome`: `new` for a key's first row, `replay` for a later one with equal content, else `conflict`."""
-    first = keys.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))).alias("__first"))
-    first = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a key of most rows is dealt over SALTS tasks
+def first_by_key(keys: DataFrame, key: str | list[str] = "external_id", order: str = "doc_id", digest: str = "digest") -> DataFrame:
+    """keys with `outcome`: `new` for a key's first row, `replay` for a later one with equal content, else `conflict`.
+
+    A key may be several columns, such as a source's kind, uri, account, device and external id; nulls are equal. A key of most rows is
+    dealt over SALTS tasks.
+    """
+    by = [key] if isinstance(key, str) else key
+    first = keys.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(by)]).agg(F.min(F.struct(F.col(order).alias("o"), F.col(digest).alias("d"))).alias("__first"))
+    first = first.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = F.when(F.col(order) == F.col("__first.o"), "new").when(F.col(digest).eqNullSafe(F.col("__first.d")), "replay").otherwise("conflict")
-    salt = F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS)).cast("int")
-    return keys.join(first, F.col(key).eqNullSafe(F.col("__key")) & (salt == F.col("__salt"))).select(*keys.columns, out.alias("outcome"))
+    same = F.pmod(F.xxhash64(F.col(order)), F.lit(SALTS)).cast("int") == F.col("__salt")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    return keys.join(first, same).select(*keys.columns, out.alias("outcome"))
 
 
 def conflicting_keys(keys: DataFrame, key: str = "external_id", digest: str = "digest") -> DataFrame:

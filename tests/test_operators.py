@@ -341,3 +341,28 @@ def test_proposed_claims_against_the_store(spark):
     promoted = spark.createDataFrame([("a", "x.md", "{1}"), ("b", "x.md", "{2}"), ("c", "y.md", "{3}")], "candidate string, path string, proposal string")
     held = spark.createDataFrame([("x.md", "a", "{1}"), ("x.md", "b", "{9}"), ("y.md", "c", "{3}"), ("y.md", "c", "{3}")], "path string, candidate string, claim string")
     assert sorted(r.location for r in Q.unheld_promotions(promoted, held).collect()) == ["b", "c"]
+
+
+def test_verified_reads_and_routes(spark):
+    log = spark.createDataFrame([(i, f"e{i}", f"e{i - 1}" if i > 1 else None, i % 2, "a" if i < 4 else "b") for i in range(1, 7)], "seq long, id string, prev_id string, target int, kind string")
+    assert [r.seq for r in folds.verified_events(log, 1, ("a",)).collect()] == [1, 3]
+    with pytest.raises(ValueError):
+        folds.verified_events(log.where("seq <> 2"), 1)
+    assert folds.one_record(log, "e2").count() == 1 and folds.one_record(log, "none").count() == 0
+    with pytest.raises(ValueError):
+        folds.one_record(log.unionByName(log), "e2")
+    source = "struct<session:string,workspace:string,metadata:map<string,string>>"
+    captures = spark.createDataFrame([(1, ("s", None, None)), (2, (None, "w", {"session": "s"})), (3, ("t", None, {"session": "s"})), (4, None)], f"id int, source {source}")
+    assert [r.id for r in C.routed(captures, "s").collect()] == [1, 2] and [r.id for r in C.routed(captures, "s", "w").collect()] == [2]
+
+
+def test_keys_of_several_columns_and_restores(spark):
+    from mnemora.operators import graph
+
+    keys = spark.createDataFrame([(1, "a", None, "x"), (2, "a", None, "x"), (3, "a", "u", "y"), (4, "a", None, "z"), (5, None, None, "x")], "doc_id long, kind string, uri string, digest string")
+    assert [r.outcome for r in graph.first_by_key(keys, ["kind", "uri"]).orderBy("doc_id").collect()] == ["new", "replay", "new", "conflict", "new"]
+    steps = spark.createDataFrame([("t", "prepared", 1), ("t", "aborted", 20), ("u", "prepared", 1), ("u", "committed", 20), ("v", "prepared", 1), ("v", "aborted", 9)], "target string, kind string, seq long")
+    schema = "target string, seq long, item string, rank int"
+    gone = spark.createDataFrame([("t", 2, "a", 1), ("t", 3, "b", 2), ("t", 4, "c", 0), ("t", 5, "d", 0), ("u", 2, "a", 0), ("v", 3, "a", 0), ("v", 30, "late", 0)], schema)
+    back = spark.createDataFrame([("t", 10, "a", 1), ("t", 11, "b", 1), ("t", 12, "x", 0), ("v", 4, "a", 0)], schema)
+    assert sorted((r.target, r.n, r.problem) for r in folds.unrestored(steps, gone, back).collect()) == [("t", 2, "labelled lower"), ("t", 3, "restored out of order"), ("t", 4, "not restored")]
