@@ -386,11 +386,15 @@ def orphans_and_missing(s, d):
     return missing.unionByName(captures.join(edges, "id", "left_anti").withColumn("problem", F.lit("orphan")))
 
 
-@query("select event_id, json_valid(props) as valid, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+@query("select event_id, event_id % 6 in (0, 5) as valid, case event_id % 6 when 0 then cast(json_extract_string(props, '$.k') as bigint) when 5 then 3 end as k, case when event_id % 6 = 5 then '{\"a\":\"é\",\"k\":3}' end as canonical from events")
 def strict_json_gate(s, d):
-    e = table(s, d, "events")
-    parsed = F.try_parse_json("props")
-    return e.select("event_id", parsed.isNotNull().alias("valid"), F.try_variant_get(parsed, "$.k", "long").alias("k"))
+    """Props as they are, with a repeated key, with numbers that are not finite, cut off, and in need of canonical form."""
+    from mnemora.functions.records import canonical_json
+
+    bad = {1: '{"k": 1, "k": 2}', 2: '{"k": NaN}', 3: '{"k": 1e999}', 4: '{"k": 1', 5: '{ "k": 3, "a": "\\u00e9" }'}
+    sent = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in bad.items() for x in pair]), (F.col("event_id") % 6).cast("int")), "props")
+    read = table(s, d, "events").select("event_id", canonical_json(sent).alias("c"))
+    return read.select("event_id", F.col("c").isNotNull().alias("valid"), F.try_variant_get(F.try_parse_json("c"), "$.k", "long").alias("k"), F.when(F.col("event_id") % 6 == 5, F.col("c")).alias("canonical"))
 
 
 @query("select event_id, event_id % 2 = 0 as valid, case when event_id % 2 = 0 then epoch_us(ts) else 0 end as micros from events")
