@@ -1,7 +1,8 @@
 """Order-dependent columns without a task that grows with its key.
 
-A key's rows are cut into spans of the order column. Within a span a window works on a bounded number
-of rows; what one span hands to the next is a summary row, and only those meet in one task.
+Rows are dealt by ranges of (key, order) and written once, so a key with most rows lies in many parts. A row's place is its
+number in its part after the sizes of the parts before; spans are cut by that place, so they hold a bounded number of rows
+whatever the values of the order column are. What one span hands to the next is a summary row, and only those meet in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemora.checkpoints import cut, free_name
+
 SPAN = 1 << 16
 
 
@@ -17,6 +20,27 @@ def _named(columns: list[str]) -> list[Column]:
     return [F.col(f"`{c}`") for c in columns]
 
 
+def numbered(df: DataFrame, key: list[str], order: list, name: str, total: str | None = None) -> DataFrame:
+    """df with `name`: the row's place, from 0, among the rows of its key by `order` (names or columns; nulls as they sort), and
+    `total`, the rows of its key. Rows equal in `order` follow each other in any order, the same one in every later reading.
+
+    Two summary columns a key and part are joined back; only the summaries of a key meet in one task.
+    """
+    at, part, first, n, shift, all_ = (free_name(df, x) for x in ("at", "part", "first", "n", "shift", "all"))
+    by = [*_named(key), *[F.col(f"`{c}`") if isinstance(c, str) else c for c in order]] or [F.lit(0)]
+    placed = cut(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(at, F.monotonically_increasing_id()))
+    placed = placed.withColumn(part, F.shiftright(F.col(at), 33))
+    runs = placed.groupBy(*_named(key), part).agg(F.count(F.lit(1)).alias(n), F.min(at).alias(first))
+    whole, before = W.partitionBy(*_named(key)), W.partitionBy(*_named(key)).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.withColumn(shift, F.coalesce(F.sum(n).over(before), F.lit(0)) - F.col(first)).withColumn(all_, F.sum(n).over(whole))
+    a, b = placed.alias("a"), runs.alias("b")
+    on = F.col(f"a.{part}") == F.col(f"b.{part}")
+    for k in key:
+        on = on & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    extra = [F.col(f"b.{all_}").alias(total)] if total else []
+    return a.join(b, on).select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col(f"a.{at}") + F.col(f"b.{shift}")).alias(name), *extra)
+
+
 def with_previous(df: DataFrame, key: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
     """df with `name`: `value` of the row before by the whole-number column `order`, which is unique within a key; null for the first."""
     cut = df.withColumn("__span", F.floor(F.col(order) / span))
