@@ -81,5 +81,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.prefixes import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.fingerprints import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemora.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts, op11_prefix_trie, op12_document_fingerprints, op13_merkle_manifest)}
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": documents_sql()}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemora.checkpoints import cut, ensure_checkpoint_dir, free_name
 
-__all__ = ["cut", "ensure_checkpoint_dir", "free_name", "join_spread", "keep_first", "only", "remove", "utf8"]
+__all__ = ["cut", "ensure_checkpoint_dir", "free_name", "join_spread", "keep_first", "only", "remove", "sorted_runs", "utf8"]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -21,6 +23,26 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+def sorted_runs(batches, keys: list[str]):
+    """The runs of equal, non-null keys among sorted batches, each as a table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, dtype=bool)
+        for k in keys:
+            c = batch.column(k)
+            change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        ends = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for a, b in zip(ends, ends[1:]):
+            if held and (a or any(held[-1].column(k)[-1] != batch.column(k)[a] for k in keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def keep_first(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """One row of docs for each (doc_id, text_hash) of chosen, all columns as they were; docs is shuffled once."""
     by = [free_name(docs, "id"), free_name(docs, "hash")]
