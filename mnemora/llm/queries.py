@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemora.llm.contract_sql import PREFIX_TRIE, merkle_manifest
 from mnemora.llm.licenses import documents_sql
 
 
@@ -100,4 +101,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_simhash_near_dedup, op3_substring_dedup, op4_quality_classifier, op5_benchmark_decontamination, op6_toxicity, op7_best_fit_packing, op8_chat_formatting, op9_embedding_near_dedup, op10_token_counts, op11_prefix_trie, op12_document_fingerprints, op13_merkle_manifest)}
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": documents_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": documents_sql(), "op11_prefix_trie": PREFIX_TRIE, "op13_merkle_manifest": merkle_manifest()}
