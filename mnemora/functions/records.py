@@ -58,6 +58,18 @@ def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(lambda x: _or_none(lambda t: canonical(strict_load(t)).decode(), x))
 
 
+@F.pandas_udf(StringType())
+def number_of(text: pd.Series) -> pd.Series:
+    """The `number` of a JSON object as it is written in decimal: 1.0 stays 1.0, a whole number has no point; null where there is none."""
+
+    def one(t):
+        value = strict_load(t)
+        n = value.get("number") if isinstance(value, dict) else None
+        return None if n is None or isinstance(n, bool) or not isinstance(n, (int, float)) else str(n)
+
+    return text.map(lambda x: _or_none(one, x))
+
+
 def _integrity(text) -> str:
     record = strict_load(text)
     return "sha256:" + hashlib.sha256(canonical({k: v for k, v in record.items() if k != "integrity"})).hexdigest()

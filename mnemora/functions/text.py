@@ -15,8 +15,13 @@ CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]"
 # Application types that hold text.
 TEXT_TYPES = ("application/json", "application/xml", "application/yaml", "application/x-yaml")
 TEXT_ENDS = ("+json", "+xml", "+yaml")
-UUID7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+# The forms of identifiers, times, media types and roles; \z, as $ also stands before a last line break.
+UUID7 = r"^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
+RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
+MEDIA_TYPE = r"^[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+\z"
+ROLE = r"^[a-z][a-z0-9._-]{0,126}\z"
+# What counts as white space at the ends of a text, beyond ASCII too.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Conservative credential shapes of our own, by the name of their detector.
 CREDENTIALS = (
     ("bearer-token", r"[Aa]uthorization:\s*[Bb]earer\s+[A-Za-z0-9._~+/-]{16,}"),
@@ -62,8 +67,13 @@ def html_escape(text: Column, quotes: bool = False) -> Column:
     return text
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any script at its ends."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+\z", "")
+
+
 def is_textual(media_type: Column) -> Column:
-    kind = F.lower(F.trim(F.split_part(media_type, F.lit(";"), F.lit(1))))
+    kind = F.lower(stripped(F.split_part(media_type, F.lit(";"), F.lit(1))))
     out = kind.startswith("text/") | kind.isin(*TEXT_TYPES)
     for end in TEXT_ENDS:
         out = out | kind.endswith(end)
@@ -119,7 +129,7 @@ def is_absolute_uri(uri: Column) -> Column:
 
 def is_actor(actor: Column) -> Column:
     """Not blank, at most 256 characters, no control or format characters, no credentials."""
-    return F.coalesce((F.trim(actor) != "") & (F.length(actor) <= 256) & ~actor.rlike(r"\p{C}") & (F.size(credentials(actor)) == 0), F.lit(False))
+    return F.coalesce((stripped(actor) != "") & (F.length(actor) <= 256) & ~actor.rlike(r"\p{C}") & (F.size(credentials(actor)) == 0), F.lit(False))
 
 
 def credentials(text: Column) -> Column:
@@ -128,24 +138,20 @@ def credentials(text: Column) -> Column:
     return F.filter(hits, lambda x: x.isNotNull())
 
 
-MEDIA_TYPE = r"^[a-z0-9!#$&^_.+-]+/[a-z0-9!#$&^_.+-]+$"
-ROLE = r"^[a-z][a-z0-9._-]{0,126}$"
-
-
 def textual_type(media_type: Column) -> Column:
     """The media type without parameters, lower-cased, where it is well-formed and holds text; else null."""
-    kind = F.lower(F.trim(F.split_part(media_type, F.lit(";"), F.lit(1))))
+    kind = F.lower(stripped(F.split_part(media_type, F.lit(";"), F.lit(1))))
     return F.when(kind.rlike(MEDIA_TYPE) & is_textual(media_type), kind)
 
 
 def strict_digest_of(reference: Column) -> Column:
     """The digest of a `sha256:` reference of 64 lower-case hex digits, or null."""
-    return F.nullif(F.regexp_extract(reference, r"^sha256:([0-9a-f]{64})$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(reference, r"^sha256:([0-9a-f]{64})\z", 1), F.lit(""))
 
 
 def precision(text: Column) -> Column:
     """`date` or `datetime` for what is one, else null."""
-    day = text.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    day = text.rlike(r"^\d{4}-\d{2}-\d{2}\z")
     return F.when(day, F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), "date")).when(instant(text).isNotNull(), "datetime")
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.functions.labels import UNKNOWN
+from mnemora.functions.text import ROLE
 
+# Kinds of captures and classes of retention.
 KINDS = ("artifact", "conversation", "event-batch", "web-capture", "message", "import", "augmentation")
 CLASSES = ("pinned", "durable", "grace", "derivative-only", "reference-only")
 
@@ -43,7 +45,7 @@ def event_faults(log: DataFrame, captures: DataFrame) -> DataFrame:
     orphans = log.where("target is not null").join(captures.select(F.col("id").alias("target")), "target", "left_anti")
     shapes = _each(log, "seq", {
         "retention change is malformed": (F.col("kind") != "retention.changed") | (F.col("was").isin(*CLASSES) & F.col("becomes").isin(*CLASSES)),
-        "representation has no role": (F.col("kind") != "representation.added") | F.col("role").rlike("^[a-z][a-z0-9._-]{0,126}$"),
+        "representation has no role": (F.col("kind") != "representation.added") | F.col("role").rlike(ROLE),
     })
     return union(violations(orphans, "event has no capture", "seq"), shapes)
 

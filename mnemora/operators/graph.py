@@ -81,10 +81,11 @@ def blocking_reasons(captures: DataFrame, state: DataFrame, raw_needed: DataFram
 
 def grace_reasons(captures: DataFrame, changes: DataFrame, now: int, days: int) -> DataFrame:
     """(digest, reason) of grace captures(id, digest, retention, ingested) whose days have not passed: they run from the last of
-    changes(id, at) of the class, else from ingestion, in microseconds. A grace that ends this instant is over."""
+    changes(id, at) of the class, else from ingestion, in microseconds. A grace that ends this instant is over; one without
+    a beginning is not."""
     since = changes.groupBy("id").agg(F.max("at").alias("__at"))
     origin = F.coalesce("__at", "ingested")
-    young = captures.where("retention = 'grace' and digest is not null").join(since, "id", "left").where(origin > now - days * 86_400_000_000)
+    young = captures.where("retention = 'grace' and digest is not null").join(since, "id", "left").where(origin.isNull() | (origin > now - days * 86_400_000_000))
     return young.select("digest", F.concat(F.col("id").cast("string"), F.lit(" grace period has not expired")).alias("reason")).distinct()
 
 

@@ -41,26 +41,40 @@ def numbered(df: DataFrame, key: list[str], order: list, name: str, total: str |
     return a.join(b, on).select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col(f"a.{at}") + F.col(f"b.{shift}")).alias(name), *extra)
 
 
+def _spans(df: DataFrame, key: list[str], order: str, span: int) -> tuple[DataFrame, str, str]:
+    """df with each row's place among its key's rows and the span of that place, and both names."""
+    at, of = free_name(df, "place"), free_name(df, "span")
+    return numbered(df, key, [order], at).withColumn(of, F.floor(F.col(at) / span)), at, of
+
+
+def _handed_on(df: DataFrame, summary: DataFrame, key: list[str], of: str) -> DataFrame:
+    a, b = df.alias("a"), summary.alias("b")
+    on = F.col(f"a.{of}") == F.col(f"b.{of}")
+    for k in key:
+        on = on & F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`"))
+    return a.join(b, on, "left")
+
+
 def with_previous(df: DataFrame, key: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
-    """df with `name`: `value` of the row before by the whole-number column `order`, which is unique within a key; null for the first."""
-    cut = df.withColumn("__span", F.floor(F.col(order) / span))
-    here = W.partitionBy(*key, "__span").orderBy(order)
-    inner = cut.withColumn("__prev", F.lag(F.struct(F.col(value).alias("v"))).over(here))
-    last = cut.groupBy(*key, "__span").agg(F.max_by(F.struct(F.col(value).alias("v")), order).alias("__end"))
-    handed = last.withColumn("__handed", F.lag("__end").over(W.partitionBy(*key).orderBy("__span"))).drop("__end")
-    on = [inner[k].eqNullSafe(handed[k]) for k in key] + [inner["__span"].eqNullSafe(handed["__span"])]
-    out = inner.join(handed, on, "left").select(*[inner[c] for c in df.columns], F.coalesce(inner["__prev"], handed["__handed"]).alias("__p"))
-    return out.select(*_named(df.columns), F.col("__p.v").alias(name))
+    """df with `name`: `value` of the row before by `order`, which is unique within a key; null for the first."""
+    rows, at, of = _spans(df, key, order, span)
+    prev, end, handed = free_name(rows, "prev"), free_name(rows, "end"), free_name(rows, "handed")
+    boxed = F.struct(F.col(f"`{value}`").alias("v"))
+    inner = rows.withColumn(prev, F.lag(boxed).over(W.partitionBy(*_named(key), of).orderBy(at)))
+    last = rows.groupBy(*_named(key), of).agg(F.max_by(boxed, F.col(at)).alias(end))
+    last = last.withColumn(handed, F.lag(end).over(W.partitionBy(*_named(key)).orderBy(of))).drop(end)
+    out = _handed_on(inner, last, key, of)
+    return out.select(*[F.col(f"a.`{c}`") for c in df.columns], F.coalesce(F.col(f"a.{prev}"), F.col(f"b.{handed}"))["v"].alias(name))
 
 
 def with_sum_before(df: DataFrame, key: list[str], order: str, value: str, name: str, span: int = SPAN) -> DataFrame:
-    """df with `name`: the sum of `value` over the rows before, by the whole-number column `order`, unique within a key; 0 for the first."""
-    cut = df.withColumn("__span", F.floor(F.col(order) / span))
-    here = W.partitionBy(*key, "__span").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    inner = cut.withColumn("__own", F.coalesce(F.sum(value).over(here), F.lit(0)))
-    totals = cut.groupBy(*key, "__span").agg(F.sum(value).alias("__total"))
-    before = W.partitionBy(*key).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)
-    handed = totals.withColumn("__handed", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    on = [inner[k].eqNullSafe(handed[k]) for k in key] + [inner["__span"].eqNullSafe(handed["__span"])]
-    out = inner.join(handed, on).select(*[inner[c] for c in df.columns], (inner["__own"] + handed["__handed"]).alias(name))
-    return out
+    """df with `name`: the sum of `value` over the rows before by `order`, unique within a key; 0 for the first."""
+    rows, at, of = _spans(df, key, order, span)
+    own, total, handed = free_name(rows, "own"), free_name(rows, "total"), free_name(rows, "handed")
+    here = W.partitionBy(*_named(key), of).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    inner = rows.withColumn(own, F.coalesce(F.sum(f"`{value}`").over(here), F.lit(0)))
+    totals = rows.groupBy(*_named(key), of).agg(F.sum(f"`{value}`").alias(total))
+    before = W.partitionBy(*_named(key)).orderBy(of).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn(handed, F.coalesce(F.sum(total).over(before), F.lit(0))).drop(total)
+    out = _handed_on(inner, totals, key, of)
+    return out.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col(f"a.{own}") + F.coalesce(F.col(f"b.{handed}"), F.lit(0))).alias(name))

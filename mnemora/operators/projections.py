@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.functions.records import canonical_json
+from mnemora.functions.records import canonical_json, number_of
 from mnemora.functions.text import is_textual
 from mnemora.operators.context import CONTINUITY_TYPES
 
@@ -28,6 +28,7 @@ def object_parts(object_json: Column) -> Column:
         own = value[t]
         if t == "number":
             unit = F.try_variant_get(v, "$.unit", "string")
+            own = number_of(object_json)
             own = F.when(unit.isNotNull(), F.concat(own, F.lit(" "), unit)).otherwise(own)
         if t == "json":
             own = canonical_json(F.get_json_object(object_json, "$.json"))

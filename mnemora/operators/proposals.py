@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.functions.labels import LABELS, UNKNOWN
-from mnemora.functions.text import UUID7, instant, is_absolute_uri, is_validity, precision
+from mnemora.functions.text import ROLE, UUID7, instant, is_absolute_uri, is_validity, precision, stripped
 from mnemora.operators.constraints import union, violations
 from mnemora.operators.projections import TAGS
 
@@ -15,7 +15,8 @@ REQUIRED = ("predicate", "object", "statement", "basis", "certainty", "observed_
 OWNED = ("id", "subject", "state", "superseded_by")
 BASES = ("declared", "observed", "inferred", "imported", "computed")
 CERTAINTIES = ("confirmed", "probable", "tentative", "unknown")
-PREDICATE = r"^[a-z][a-z0-9]*(?:[._-][a-z0-9]+)*$"
+PREDICATE = r"^[a-z][a-z0-9]*(?:[._-][a-z0-9]+)*\z"
+REQUIRES = rf"^(?:raw|record-only|representation:{ROLE[1:-2]})\z"
 
 
 def _is(v: Column, path: str, kind: str) -> Column:
@@ -30,7 +31,7 @@ def object_error(object_json: Column) -> Column:
     text = lambda t: F.try_variant_get(v, f"$.{t}", "string")
     extra = F.array_except(keys, F.when(kind == "number", F.array(F.lit("number"), F.lit("unit"))).otherwise(F.array(kind)))
     good = {
-        "ref": text("ref").rlike(UUID7), "text": _is(v, "$.text", "^STRING$"), "boolean": _is(v, "$.boolean", "^BOOLEAN$"), "number": _is(v, "$.number", "^(BIGINT|DECIMAL|DOUBLE)") & (~F.array_contains(keys, "unit") | (_is(v, "$.unit", "^STRING$") & (F.trim(text("unit")) != ""))),
+        "ref": text("ref").rlike(UUID7), "text": _is(v, "$.text", "^STRING$"), "boolean": _is(v, "$.boolean", "^BOOLEAN$"), "number": _is(v, "$.number", "^(BIGINT|DECIMAL|DOUBLE)") & (~F.array_contains(keys, "unit") | (_is(v, "$.unit", "^STRING$") & (stripped(text("unit")) != ""))),
         "date": _is(v, "$.date", "^STRING$") & (precision(text("date")) == "date"), "datetime": _is(v, "$.datetime", "^STRING$") & instant(text("datetime")).isNotNull(), "uri": _is(v, "$.uri", "^STRING$") & is_absolute_uri(text("uri")), "json": F.lit(True),
     }
     out = F.when(keys.isNull() | v.isNull(), "claim object is no mapping").when(F.size(tagged) != 1, "claim object has not one typed value").when(F.size(extra) > 0, "claim object has other fields")
@@ -43,9 +44,14 @@ def proposal_error(proposal: Column, predicate: str = PREDICATE, bases: tuple =
     """What is wrong first with a claim proposal, a JSON text; null for a good one. Evidence is ids or (id, requires)."""
     v, keys = F.try_parse_json(proposal), F.json_object_keys(proposal)
     text = lambda p: F.try_variant_get(v, f"$.{p}", "string")
-    ids = F.from_json(F.get_json_object(proposal, "$.evidence"), "array<string>")
-    ids = F.transform(ids, lambda x: F.coalesce(F.get_json_object(x, "$.id"), x))
-    old = F.from_json(F.get_json_object(proposal, "$.supersedes"), "array<string>")
+    cited = F.try_variant_get(v, "$.evidence", "array<variant>")
+    plain = lambda x: F.schema_of_variant(x) == "STRING"
+    ids = F.transform(cited, lambda x: F.when(plain(x), F.try_variant_get(x, "$", "string")).otherwise(F.try_variant_get(x, "$.id", "string")))
+    fields = lambda x: F.array_sort(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
+    item = lambda x: plain(x) | (fields(x).eqNullSafe(F.array(F.lit("id"), F.lit("requires"))) & F.coalesce(_is(x, "$.requires", "^STRING$") & F.try_variant_get(x, "$.requires", "string").rlike(REQUIRES), F.lit(False)))
+    bounds = F.map_keys(F.try_variant_get(v, "$.valid", "map<string,variant>"))
+    dated = lambda k: ~F.array_contains(bounds, k) | _is(v, f"$.valid.{k}", "^STRING$")
+    old = F.try_variant_get(v, "$.supersedes", "array<string>")
     has = lambda k: F.array_contains(keys, k)
     ok = lambda c: F.coalesce(c, F.lit(False))
     said_null = lambda k: ~has(k) | _is(v, f"$.{k}", "^VOID$")
@@ -53,13 +59,13 @@ def proposal_error(proposal: Column, predicate: str = PREDICATE, bases: tuple =
         "claim proposal is no mapping": keys.isNotNull() & v.isNotNull(),
         "claim proposal sets what promotion owns": ~F.arrays_overlap(keys, F.array(*map(F.lit, OWNED))),
         "claim proposal misses fields": F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), keys)) == 0,
-        "claim predicate has an invalid form": text("predicate").rlike(predicate),
-        "claim statement is empty": F.trim(text("statement")) != "",
-        "claim basis is invalid": text("basis").isin(*bases),
-        "claim certainty is invalid": text("certainty").isin(*certainties),
+        "the predicate is not dotted lower-case words": text("predicate").rlike(predicate),
+        "claim statement is empty": stripped(text("statement")) != "",
+        "the basis is none of those known": text("basis").isin(*bases),
+        "the certainty is none of those known": text("certainty").isin(*certainties),
         "claim observed_at is no time": instant(text("observed_at")).isNotNull(),
-        "claim evidence is not a list of distinct ids": (F.size(ids) > 0) & F.forall(ids, lambda x: x.rlike(UUID7)) & (F.size(F.array_distinct(ids)) == F.size(ids)),
-        "claim valid is no interval": said_null("valid") | (is_validity(text("valid.from"), text("valid.until")) & (text("valid.from").isNotNull() | text("valid.until").isNotNull())),
+        "claim evidence is not a list of distinct ids": (F.size(ids) > 0) & F.forall(ids, lambda x: F.coalesce(x.rlike(UUID7), F.lit(False))) & F.forall(cited, item) & (F.size(F.array_distinct(ids)) == F.size(ids)),
+        "claim valid is no interval": said_null("valid") | ((F.size(F.array_except(bounds, F.array(F.lit("from"), F.lit("until")))) == 0) & dated("from") & dated("until") & is_validity(text("valid.from"), text("valid.until")) & (text("valid.from").isNotNull() | text("valid.until").isNotNull())),
         "claim sensitivity is invalid": said_null("sensitivity") | text("sensitivity").isin(*LABELS),
         "claim supersedes is not a list of distinct ids": said_null("supersedes") | (F.forall(old, lambda x: x.rlike(UUID7)) & (F.size(F.array_distinct(old)) == F.size(old))),
     }

@@ -125,10 +125,15 @@ def gram_overlap(docs: DataFrame, query: str, ceiling: str, text: str = "text",
     grams = python_bigrams(query)
     if not grams:
         return docs.where("false").select("id", "rank", F.lit(0.0).alias("score"))
-    # a document of one character is the gram of that character only
-    plain = authorized(docs, ceiling).withColumn("__plain", T.alnum(F.col(text), most))
-    hits = sum((F.when((F.length("__plain") > 1) == F.lit(len(g) > 1), F.contains("__plain", F.lit(g)).cast("int")).otherwise(0) for g in grams), F.lit(0))
-    return plain.withColumn("__hits", hits).where(F.col("__hits") >= max(1, (len(grams) + 1) // 2)).select("id", "rank", (F.col("__hits") / len(grams)).alias("score"))
+    # a document of one character is the gram of that character only; the text is cleaned once, in the array that is passed through
+    alone, pairs = [F.lit(g) for g in grams if len(g) == 1], [F.lit(g) for g in grams if len(g) > 1]
+    none = F.expr("cast(array() as array<string>)")
+    hits = F.transform(
+        F.array(T.alnum(F.col(text), most)),
+        lambda p: F.when(F.length(p) > 1, F.size(F.filter(F.array(*pairs) if pairs else none, lambda g: F.contains(p, g)))).otherwise(F.size(F.filter(F.array(*alone) if alone else none, lambda g: p == g))),
+    )
+    found = authorized(docs, ceiling).select("id", "rank", F.get(hits, F.lit(0)).alias("__hits")).where(F.col("__hits") >= max(1, (len(grams) + 1) // 2))
+    return found.select("id", "rank", (F.col("__hits") / len(grams)).alias("score"))
 
 
 def top(scored: DataFrame, fetch: int, tier: int) -> DataFrame:

@@ -330,23 +330,29 @@ def candidates_listed(s, d):
     return last.join(before, "created_at").select("target", "status", at.alias("position"))
 
 
-_WRONG = ("", "claim proposal sets what promotion owns", "claim proposal misses fields", "claim predicate has an invalid form", "claim object has not one typed value", "claim object number is invalid", "claim basis is invalid",
-          "claim observed_at is no time", "claim evidence is not a list of distinct ids", "claim valid is no interval", "claim supersedes is not a list of distinct ids", "claim object has other fields")
+_CITED = "claim evidence is not a list of distinct ids"
+_WRONG = ("", "claim proposal sets what promotion owns", "claim proposal misses fields", "the predicate is not dotted lower-case words", "claim object has not one typed value", "claim object number is invalid", "the basis is none of those known",
+          "claim observed_at is no time", _CITED, "claim valid is no interval", "claim supersedes is not a list of distinct ids", "claim object has other fields", _CITED, _CITED, _CITED, "claim valid is no interval",
+          "the predicate is not dotted lower-case words", "claim statement is empty", "", "claim observed_at is no time")
 
 
-@query(f"select doc_id, {list(_WRONG)}[doc_id % 12 + 1] as error from labels".replace('"', "'"))
+@query(f"select doc_id, {list(_WRONG)}[doc_id % {len(_WRONG)} + 1] as error from labels".replace('"', "'"))
 def claim_proposals(s, d):
-    """A proposal for each label, wrong in one way by id."""
+    """A proposal for each label, wrong in one way by id: among them citations with another requirement, without a role or with more fields, an
+    interval with another field, and texts that end in a line break or are no-break spaces only."""
     from mnemora.operators.proposals import proposal_error
 
-    k = F.col("doc_id") % 12
+    k = F.col("doc_id") % len(_WRONG)
     on = lambda n, bad, good: F.when(k == n, F.lit(bad)).otherwise(F.lit(good))
     uuid = F.concat(F.lit("018f0000-0000-7000-8000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    other = F.concat(F.lit("018f0000-0000-7000-9000-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    cite = lambda who, rest: F.concat(F.lit(', {"id": "'), who, F.lit('", "requires": "' + rest + "}"))
+    statement = F.when(k == 2, "").when(k == 17, '"statement": "\u00a0\u2003", ').otherwise('"statement": "It is so.", ')
     said = F.concat(
-        F.lit("{"), on(1, '"state": "active", ', ""), on(2, "", '"statement": "It is so.", '), F.lit('"predicate": '), on(3, '"Bad Predicate"', '"quality"'), F.lit(', "object": '),
+        F.lit("{"), on(1, '"state": "active", ', ""), statement, F.lit('"predicate": '), F.when(k == 3, '"Bad Predicate"').when(k == 16, '"quality\\n"').otherwise('"quality"'), F.lit(', "object": '),
         F.when(k == 4, '{"text": "a", "boolean": true}').when(k == 5, '{"number": "x"}').when(k == 11, '{"text": "a", "unit": "kg"}').when(k == 0, '{"number": 1.5, "unit": "kg"}').otherwise('{"text": "a"}'),
-        F.lit(', "basis": '), on(6, '"guessed"', '"declared"'), F.lit(', "certainty": "confirmed", "observed_at": '), on(7, '"2024-01-01"', '"2024-01-01T00:00:00Z"'), F.lit(', "evidence": ["'), uuid, F.lit('"'),
-        F.when(k == 8, F.concat(F.lit(', {"id": "'), uuid, F.lit('", "requires": "raw"}'))).otherwise(""), F.lit('], "valid": '), on(9, '{"from": "2024-01-02", "until": "2024-01-01"}', '{"from": "2024-01-02"}'),
-        F.lit(', "supersedes": '), F.when(k == 10, '["x"]').when(k == 0, "null").otherwise("[]"), F.lit("}"),
+        F.lit(', "basis": '), on(6, '"guessed"', '"declared"'), F.lit(', "certainty": "confirmed", "observed_at": '), F.when(k == 7, '"2024-01-01"').when(k == 19, '"2024-01-01T00:00:00Z\\n"').otherwise('"2024-01-01T00:00:00Z"'), F.lit(', "evidence": ["'), uuid, F.lit('"'),
+        F.when(k == 8, cite(uuid, 'raw"')).when(k == 12, cite(other, 'nonsense"')).when(k == 13, cite(other, 'representation:"')).when(k == 14, cite(other, 'raw", "why": "x"')).when(k == 18, cite(other, 'representation:ocr"')).otherwise(""), F.lit('], "valid": '),
+        F.when(k == 9, '{"from": "2024-01-02", "until": "2024-01-01"}').when(k == 15, '{"from": "2024-01-02", "to": "2024-01-03"}').otherwise('{"from": "2024-01-02"}'), F.lit(', "supersedes": '), F.when(k == 10, '["x"]').when(k == 0, "null").otherwise("[]"), F.lit("}"),
     )
     return table(s, d, "labels").select("doc_id", F.coalesce(proposal_error(said), F.lit("")).alias("error"))
