@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 
 from mnemora.llm.components import connected_components
 from mnemora.llm.shared import cut, join_spread, only
-from mnemora.llm.simhash import in_parts
 
 BITS, CYCLE, CLASSES = 256, 256, 256
 BANDS, BAND_BITS = 12, 32
 NEAR = 0.95
 """Likeness of near copies. Of pairs that differ in 6 of 256 bits, the most that this allows, a band finds 0.46, all bands but one in 1,800."""
 AT_ONCE = 1 << 20
+BROADCAST = 1 << 17
+"""Most keys of full buckets that are broadcast, about 2 MB."""
 _rng = np.random.default_rng(12)
 _MOVES = _rng.integers(0, 2, (CLASSES, CYCLE)).astype(bool)
 _BIT_OF = _rng.integers(0, 2, (BITS, CLASSES)).astype(np.uint8)
@@ -216,6 +217,15 @@ def chained(fps: np.ndarray, radius: int) -> np.ndarray:
     return root
 
 
+def in_parts(fps: DataFrame, cap: int) -> DataFrame:
+    """(key, a, b, fp): all fingerprints of a bucket meet, no (key, a, b) has much over 2 * cap of them. Only keys are counted; the full
+    ones, usually few, are broadcast where their number allows it, and fingerprints are shuffled once."""
+    full = cut(band_keys(fps).groupBy("key").count().where(F.col("count") > cap).select("key", F.ceil(F.col("count") / cap).cast("int").alias("parts")))
+    dealt = band_keys(fps).join(F.broadcast(full) if full.count() <= BROADCAST else full, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+
+
 def links(fps: DataFrame, near: float = NEAR, cap: int = 4096) -> DataFrame:
     """(u, v): links between distinct fingerprints `fp` that share a band and are alike by `near` or more, as chains: at most one row a
     fingerprint and bucket."""
@@ -260,8 +270,7 @@ def links(fps: DataFrame, near: float = NEAR, cap: int = 4096) -> DataFrame:
             if out:
                 yield out
 
-    dealt = in_parts(band_keys(fps), ["key"], "fp", cap).select("key", "a", "b", "fp")
-    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u binary, v binary")
+    return in_parts(fps, cap).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
 def near_groups(report: DataFrame, near: float = NEAR, cap: int = 4096) -> DataFrame:
