@@ -144,13 +144,34 @@ _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.floa
 _REPORT = "doc_id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, packed): texts compressed one by one, as they are shuffled once; mark orders rows of equal doc_id."""
+
+    def run(batches):
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = [squeeze(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(texts, pa.binary())], ["doc_id", "mark", "packed"])
+
+    source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, mark long, packed binary")
+
+
+def unpacked(data: bytes) -> str:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data).decode()
+
+
 def prints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next) of every row."""
-    edge_types = [*_TYPES, pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
-    edge_names = [*_NAMES, "part", "first", "last", "text"]
+    edge_types = [*_TYPES, pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    edge_names = [*_NAMES, "part", "first", "last", "packed"]
 
     def run(batches):
-        part, held, first = TaskContext.get().partitionId(), None, True
+        part, held, own, first = TaskContext.get().partitionId(), None, b"", True
 
         def rows_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), edge_types)], edge_names)
@@ -158,31 +179,31 @@ def prints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                now = _Walked(batch.column("doc_id")[i].as_py(), batch.column("text")[i].as_py())
+                data = batch.column("packed")[i].as_py()
+                now = _Walked(batch.column("doc_id")[i].as_py(), unpacked(data))
                 if held:
-                    out.append((*held.row(now), part, first, False, held.text if first else None))
+                    out.append((*held.row(now), part, first, False, own if first else None))
                     first = False
-                held = now
+                held, own = now, data
             if out:
                 yield rows_of(out)
         if held:
-            yield rows_of([(held.doc_id, len(held.text), None, held.print.tobytes(), None, None, None, part, first, True, held.text)])
+            yield rows_of([(held.doc_id, len(held.text), None, held.print.tobytes(), None, None, None, part, first, True, own)])
 
     def finish(batches):
         for batch in batches:
-            rows = [_Walked(a, b).row(_Walked(None, c)) for a, b, c in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "text", "following")])]
+            rows = [_Walked(a, unpacked(b)).row(_Walked(None, unpacked(c))) for a, b, c in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "packed", "following")])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
 
-    order = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
-    source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = source.repartitionByRange(*order).sortWithinPartitions(*order)
-    done = cut(dealt.mapInArrow(run, f"{_REPORT}, part int, first boolean, last boolean, text string"))
+    order = [F.desc_nulls_last("doc_id"), F.col("mark")]
+    dealt = packed(docs).repartitionByRange(*order).sortWithinPartitions(*order)
+    done = cut(dealt.select("doc_id", "packed").mapInArrow(run, f"{_REPORT}, part int, first boolean, last boolean, packed binary"))
     parts = Window.orderBy("part")  # a row for each part
-    heads = done.where("first").select("part", F.col("text").alias("following"))
+    heads = done.where("first").select("part", F.col("packed").alias("following"))
     after = done.where("last").select("part").withColumn("next", F.coalesce(F.lead("part").over(parts), F.min("part").over(parts)))
-    ends = done.where("last").select("part", "doc_id", "text").join(after, "part").join(heads.withColumnRenamed("part", "next"), "next")
-    return done.where("not last").select(*_NAMES).unionByName(ends.select("doc_id", "text", "following").mapInArrow(finish, _REPORT))
+    ends = done.where("last").select("part", "doc_id", "packed").join(after, "part").join(heads.withColumnRenamed("part", "next"), "next")
+    return done.where("not last").select(*_NAMES).unionByName(ends.select("doc_id", "packed", "following").mapInArrow(finish, _REPORT))
 
 
 def band_keys(fps: DataFrame) -> DataFrame:
