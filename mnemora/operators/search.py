@@ -52,6 +52,16 @@ def occurrences(tokens: Column, phrase: list[str]) -> Column:
     return F.coalesce(F.size(F.filter(starts, here)), F.lit(0))
 
 
+def scored(counted: DataFrame, tf: list[str], n: int, avgdl: float | None, dfs, ceiling: str) -> DataFrame:
+    """(id, rank, score) of counted(id, rank, dl, one count a term), where a term occurs; dfs has the documents of each term by its column."""
+    score = F.lit(0.0)
+    for name in tf:
+        idf = F.greatest(F.log((F.lit(float(n)) - dfs[name] + 0.5) / (dfs[name] + 0.5)), F.lit(LEAST_IDF))
+        norm = K1 * (1 - B + B * F.col("dl") / float(avgdl or 1))
+        score = score + idf * F.col(name) * (K1 + 1) / (F.col(name) + norm)
+    return authorized(counted, ceiling).where(F.greatest(*[F.col(name) for name in tf], F.lit(0)) > 0).select("id", "rank", score.alias("score"))
+
+
 def bm25(docs: DataFrame, query: str, ceiling: str, text: str = "text", title: str | None = None) -> DataFrame:
     """(id, rank, score) of docs(id, rank, text) that hold a term; a title counts like the text, but no phrase runs from one into the other.
 
@@ -68,12 +78,7 @@ def bm25(docs: DataFrame, query: str, ceiling: str, text: str = "text", title: s
     split = docs.select("id", "rank", own.alias("t"))
     counted = cut(split.select("id", "rank", (F.size("t") - int(title is not None)).alias("dl"), *[occurrences(F.col("t"), p).alias(n) for n, p in zip(tf, phrases)]))
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(n) for n in tf]).first()
-    score = F.lit(0.0)
-    for name in tf:
-        idf = F.greatest(F.log((F.lit(float(stats.n)) - stats[name] + 0.5) / (stats[name] + 0.5)), F.lit(LEAST_IDF))
-        norm = K1 * (1 - B + B * F.col("dl") / float(stats.avgdl or 1))
-        score = score + idf * F.col(name) * (K1 + 1) / (F.col(name) + norm)
-    return authorized(counted, ceiling).where(F.greatest(*[F.col(n) for n in tf], F.lit(0)) > 0).select("id", "rank", score.alias("score"))
+    return scored(counted, tf, stats.n, stats.avgdl, stats, ceiling)
 
 
 def snippets(hits: DataFrame, query: str, text: str = "text", most: int = 32, marks: tuple[str, str] = ("[", "]"), cut_mark: str = " … ") -> DataFrame:

@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from mnemora.plans import queries, store
+from mnemora.plans import indexed, queries, store
 
-__all__ = ["queries", "store"]
+__all__ = ["indexed", "queries", "store"]
