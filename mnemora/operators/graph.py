@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemora.functions.labels import UNKNOWN
+from mnemora.functions.labels import DEFAULT, UNKNOWN, authorized
 
 SALTS = 8
 
@@ -45,6 +45,26 @@ def claim_ranks(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     return edges.join(of, "evidence_id", "left").groupBy("claim_id").agg(F.max(F.coalesce("__rank", F.lit(UNKNOWN))).alias("rank"))
 
 
+def document_ranks(documents: DataFrame, claims: DataFrame, edges: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(id, rank): the label in force of documents(id, rank): the highest of its own (personal where it has none), of those its
+    claims(id, document, rank) state, and of all evidence that they cite. A claim without evidence and missing evidence fail closed.
+
+    Labels meet as rows in one partial aggregate, so a document with most of the claims is one row a task.
+    """
+    cited = claim_ranks(edges, ranks).select(F.col("claim_id").alias("id"), F.col("rank").alias("__cited"))
+    of_claims = claims.select("id", "document", "rank").join(cited, "id", "left")
+    stated = of_claims.where("rank is not null").select(F.col("document").alias("id"), "rank")
+    from_evidence = of_claims.select(F.col("document").alias("id"), F.coalesce("__cited", F.lit(UNKNOWN)).alias("rank"))
+    claimed = stated.unionByName(from_evidence).join(documents.select("id"), "id", "left_semi")
+    own = documents.select("id", F.coalesce("rank", F.lit(DEFAULT)).alias("rank"))
+    return own.unionByName(claimed).groupBy("id").agg(F.max("rank").cast("int").alias("rank"))
+
+
+def visible_documents(documents: DataFrame, claims: DataFrame, edges: DataFrame, ranks: DataFrame, ceiling: str) -> DataFrame:
+    """documents at or below the ceiling by the label in force, with that label as `rank`: what search and context may show."""
+    return authorized(documents.drop("rank").join(document_ranks(documents, claims, edges, ranks), "id"), ceiling)
+
+
 def object_ranks(captures: DataFrame) -> DataFrame:
     """(digest, rank): the highest label of what refers to an object."""
     return captures.where("digest is not null").groupBy("digest").agg(F.max(F.coalesce("rank", F.lit(UNKNOWN))).alias("rank"))

@@ -1,4 +1,4 @@
-"""Registered queries over the written search index: built in batches, with later texts, additions and deletions."""
+"""Registered queries over the written search index (built in batches, with later texts, additions and deletions), over labels in force and under compiled schemas."""
 
 from __future__ import annotations
 
@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.checkpoints import ensure_checkpoint_dir
-from mnemora.operators import postings
+from mnemora.functions.json_schema import json_faults
+from mnemora.operators import graph, postings, search
 from mnemora.plans.queries import _GRAMS, _HITS, _PLAIN, _TOKENS, PHRASE, PLAIN, QUERY, _bm25_sql, query
-from mnemora.sources.views import table
+from mnemora.sources import views as V
+from mnemora.sources.schemas import event_schema
+from mnemora.sources.views import table, with_views
 
 _LEFT = "from documents where doc_id % 10 <> 7)"
 EXTRA, BUCKETS = 1_000_000_000, 8
@@ -56,3 +59,57 @@ def index_gram_overlap(s, d):
 @query(f"select token as term, count(distinct doc_id) as df from (select doc_id, unnest({_TOKENS}) as token {_LEFT} group by token")
 def index_frequencies(s, d):
     return postings.counts(s, _index(s, d))
+
+
+_LABELS = with_views("claim_rows", "claim_evidence") + """, cited as (select * from claim_evidence where claim_id % 23 <> 0),
+labelled as (select doc_id as id, case doc_id % 5 when 4 then null else doc_id % 5 end as rank from documents),
+said as (select id, coalesce(rank, 1) as rank from labelled
+ union all select c.subject, case c.id % 7 when 0 then c.id % 4 when 1 then 99 end from claim_rows c where c.id % 7 <= 1
+ union all select c.subject, coalesce(r.rank, 99) from claim_rows c left join cited e on e.claim_id = c.id left join (select id, coalesce(rank, 1) as rank from labelled) r on r.id = e.evidence_id),
+in_force as (select id, max(rank) as rank from said where id in (select id from labelled) group by id)"""
+
+
+def _labelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents of which every fifth has no label, claims of which some state one, citations (none for some claims, some of what is not there), and labels of evidence."""
+    own = F.when(F.col("doc_id") % 5 < 4, (F.col("doc_id") % 5).cast("int"))
+    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), own.alias("rank"), "text")
+    stated = F.when(F.col("id") % 7 == 0, (F.col("id") % 4).cast("int")).when(F.col("id") % 7 == 1, F.lit(99))
+    claims = V.claims(s, d).select("id", F.col("subject").alias("document"), stated.alias("rank"))
+    edges = V.claim_evidence(s, d).where("claim_id % 23 <> 0")
+    return docs, claims, edges, docs.select("id", F.coalesce("rank", F.lit(1)).alias("rank"))
+
+
+@query(_LABELS + " select id, rank from in_force")
+def document_sensitivity(s, d):
+    return graph.document_ranks(*_labelled(s, d)).select("id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(_LABELS + ", " + _bm25_sql(QUERY).replace("doc_id % 4 as rank, text", "in_force.rank as rank, text", 1).replace("from documents)", "from documents join in_force on in_force.id = doc_id)") + """
+select id, round(score, 6) as score from scored order by scored.score desc, id limit 40""")
+def search_by_label_in_force(s, d):
+    """BM25 over all documents, shown by the label in force; corpus counts cover hidden documents too."""
+    docs, *rest = _labelled(s, d)
+    ranked = docs.drop("rank").join(graph.document_ranks(docs, *rest), "id")
+    return _best(search.bm25(ranked, QUERY, "personal"))
+
+
+@query("""select event_id, array_to_string(list_sort(list_filter([
+ case when event_id = 0 then '$.sequence: minimum' end, case when event_id % 3 = 0 then '$.event_type: pattern' end, case when user_id % 7 = 0 then '$.recorded_at: format' end, case when user_id % 7 = 0 then '$.recorded_at: pattern' end,
+ case when user_id % 11 = 0 then '$.actor: minLength' end, case when user_id % 11 = 1 then '$: required actor' end, case when user_id % 13 = 0 then '$.sensitivity: enum' end, case when value <= 5 then '$.sealed: const' end,
+ case when cast(json_extract(props, '$.k') as int) > 90 then '$.data.k: maximum' end, case when event_id % 17 = 1 then '$.previous_event: oneOf' end], lambda x: x is not null)), '; ') as faults from events""")
+def schema_faults(s, d):
+    """All faults of every event, sealed as a JSON record in which parts go wrong by their own values, under the compiled schema of events."""
+    e, id_, user = table(s, d, "events"), F.col("event_id"), F.col("user_id")
+    uuid = lambda n: F.concat(F.lit("018f0000-0000-7000-8000-"), F.lpad(n.cast("string"), 12, "0"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = {
+        "id": quoted(uuid(id_)), "sequence": id_.cast("string"), "previous_event": F.when(id_ % 17 == 1, "7").when(id_ > 0, quoted(uuid(id_ - 1))).otherwise("null"),
+        "event_type": quoted(F.when(id_ % 3 == 0, F.col("event_type")).otherwise(F.concat(F.lit("payload."), "event_type"))),
+        "recorded_at": quoted(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(user % 7 == 0, "").otherwise("Z"))), "data": F.coalesce("props", F.lit("null")),
+        "sensitivity": quoted(F.when(user % 13 == 0, "secret").otherwise("personal")), "sealed": (F.col("value") > 5).cast("string"), "integrity": quoted(F.concat(F.lit("sha256:"), F.sha2("props", 256))),
+    }
+    said = [F.concat(F.lit(f'"{k}": '), v) for k, v in fields.items()]
+    actor = F.when(user % 11 != 1, F.when(user % 11 == 0, '"actor": ""').otherwise('"actor": "user"'))
+    record = F.concat(F.lit("{"), F.concat_ws(", ", *said, actor), F.lit("}"))
+    found = json_faults(event_schema({"type": "object", "properties": {"k": {"type": "integer", "maximum": 90}}}), record)
+    return e.select("event_id", F.array_join(found, "; ").alias("faults"))
