@@ -2,8 +2,8 @@
 
 Every word has a sparse random index vector. A word's own vector is the sum of the index
 vectors of the words around it (and of its own) over all documents, centred and scaled to
-length one; words share hash buckets, one for each BYTES_EACH of text, VOCABULARY at least and MOST at most, so that
-the table grows with the corpus to a size that can be broadcast. A
+length one; words share VOCABULARY hash buckets, as many for any corpus, so that the table has a size that can be broadcast (16 MB).
+Tasks add up and send only the buckets that their texts touch. A
 document is the mean of its words' vectors. A two-layer network in numpy is fitted on at
 most `sample` labelled rows and its temperature on a part of them kept aside.
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from mnemora.llm.shared import free_name, only
 from mnemora.llm.textkernels import WORDS_AND_MARKS, chunks_of, joined, token_hashes, tokens
 
-VOCABULARY, MOST, BYTES_EACH = 8192, 1 << 17, 1 << 16
+VOCABULARY = 1 << 16
+"""Buckets of words. With many more distinct words than these, rare words share a vector with others."""
 DIM = 64
 FEATURES = DIM + 3
 NONZEROS = 2
@@ -41,12 +42,6 @@ def index_vectors(vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]
     return rng.integers(0, DIM, (vocabulary, NONZEROS)), rng.choice([-1.0, 1.0], (vocabulary, NONZEROS))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """A power of two."""
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST, max(VOCABULARY, 1 << (size // BYTES_EACH).bit_length()))
-
-
 def buckets_of(texts: list[bytes], vocabulary: int = VOCABULARY):
     """For chunks of the texts: range of texts, bucket of each token, first token of each text (and the end)."""
     for a, b in chunks_of(texts):
@@ -59,43 +54,57 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def word_vectors(docs: DataFrame, vocabulary: int | None = None) -> np.ndarray:
-    """[vocabulary, DIM] from all documents. Tasks add up locally and send a table of fixed size; the
-    slices of the tables are added as they stream in."""
-    vocabulary = buckets_for(docs) if vocabulary is None else vocabulary
+def neighbour_sums(bucket: np.ndarray, at: np.ndarray, place: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets that a chunk of texts touches, the sums of their neighbours' index vectors, and how often each one stands."""
+    touched, own_of = np.unique(bucket, return_inverse=True)
+    text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    keys, weights = [], []
+    for reach in range(1, REACH + 1):
+        near = text_of[reach:] == text_of[:-reach]
+        for own, other in ((own_of[:-reach][near], bucket[reach:][near]), (own_of[reach:][near], bucket[:-reach][near])):
+            keys.append((own[:, None] * DIM + place[other]).ravel())
+            weights.append(sign[other].ravel())
+    sums = np.bincount(np.concatenate(keys), np.concatenate(weights), len(touched) * DIM).reshape(-1, DIM)
+    return touched, sums, np.bincount(own_of, minlength=len(touched))
+
+
+def word_vectors(docs: DataFrame, vocabulary: int = VOCABULARY) -> np.ndarray:
+    """[vocabulary, DIM] from all documents. Tasks add up locally and send the buckets they have touched, in slices; the
+    slices are added as they stream in."""
     place, sign = index_vectors(vocabulary)
+    schema = "slice int, buckets binary, sums binary"
+    names = ["slice", "buckets", "sums"]
 
     def add_up(batches):
-        total = np.zeros(vocabulary * (DIM + 1))
+        total, seen = np.zeros((vocabulary, DIM), dtype=np.float32), np.zeros(vocabulary, dtype=np.float32)
         for batch in batches:
             for _, _, bucket, at in buckets_of(_bytes(batch.column(0)), vocabulary):
-                text_of = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                total[vocabulary * DIM :] += np.bincount(bucket, minlength=vocabulary)
-                for reach in range(1, REACH + 1):
-                    near = text_of[reach:] == text_of[:-reach]
-                    left, right = bucket[:-reach][near], bucket[reach:][near]
-                    for t in range(NONZEROS):
-                        for own, other in ((left, right), (right, left)):
-                            total[: vocabulary * DIM] += np.bincount(own * DIM + place[other, t], sign[other, t], minlength=vocabulary * DIM)
-        each = vocabulary // SLICES
-        sums, seen = total[: vocabulary * DIM].reshape(SLICES, each * DIM), total[vocabulary * DIM :].reshape(SLICES, each)
-        rows = [np.concatenate(x).astype(np.float32).tobytes() for x in zip(sums, seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(rows, pa.binary())], ["slice", "sums"])
+                if len(bucket):
+                    touched, sums, times = neighbour_sums(bucket, at, place, sign)
+                    total[touched] += sums
+                    seen[touched] += times
+        held = np.flatnonzero(seen)
+        ends = np.searchsorted(held, np.arange(SLICES + 1) * (vocabulary // SLICES))
+        rows = [(k, held[a:b].astype(np.int32).tobytes(), np.column_stack([total[held[a:b]], seen[held[a:b]]]).tobytes()) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names)
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
+        each = vocabulary // SLICES
         for batch in batches:
-            for k, x in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
-                total[k] = total.get(k, 0) + np.frombuffer(x, dtype=np.float32).astype(np.float64)
+            for k, buckets, sums in zip(*[c.to_pylist() for c in batch.columns]):
+                own = total.setdefault(k, np.zeros((each, DIM + 1)))
+                own[np.frombuffer(buckets, dtype=np.int32) - k * each] += np.frombuffer(sums, dtype=np.float32).reshape(-1, DIM + 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "sums"])
 
-    rows = only(docs, "text").mapInArrow(add_up, "slice int, sums binary").repartition("slice").mapInArrow(merge, "slice int, sums binary").collect()
+    rows = only(docs, "text").mapInArrow(add_up, schema).repartition("slice").mapInArrow(merge, "slice int, sums binary").collect()  # a table of fixed size
     each = vocabulary // SLICES
     vectors, seen = np.zeros((vocabulary, DIM)), np.zeros(vocabulary)
     for r in rows:
-        x = np.frombuffer(bytes(r.sums))
-        vectors[r.slice * each : (r.slice + 1) * each] = x[: each * DIM].reshape(each, DIM)
-        seen[r.slice * each : (r.slice + 1) * each] = x[each * DIM :]
+        x = np.frombuffer(bytes(r.sums)).reshape(each, DIM + 1)
+        vectors[r.slice * each : (r.slice + 1) * each] = x[:, :DIM]
+        seen[r.slice * each : (r.slice + 1) * each] = x[:, DIM]
     for t in range(NONZEROS):
         vectors[np.arange(vocabulary), place[:, t]] += sign[:, t] * np.maximum(seen, 1) * 2 * REACH
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)

@@ -20,25 +20,26 @@ def test_held_out_accuracy(spark):
     assert (got.predicted[got.quality == 1] == 1).mean() > 0.99
 
 
-def test_word_vectors_match_a_plain_loop(spark):
+@pytest.mark.parametrize("vocabulary, texts", [(VOCABULARY, ["a b c ### d", "", "b b", None]), (256, [" ".join(f"w{(i * k) % 1999}" for i in range(300)) for k in range(1, 9)])])
+def test_word_vectors_match_a_plain_loop(spark, vocabulary, texts):
+    """Also with many more words than buckets."""
     from mnemora.llm.quality import buckets_of
 
-    texts = ["a b c ### d", "", "b b", None]
-    place, sign = index_vectors()
-    total, seen = np.zeros((VOCABULARY, DIM)), np.zeros(VOCABULARY)
+    place, sign = index_vectors(vocabulary)
+    total, seen = np.zeros((vocabulary, DIM)), np.zeros(vocabulary)
     for t in texts:
-        bucket = [x for _, _, bs, _ in buckets_of([(t or "").encode()]) for x in bs.tolist()]
+        bucket = [x for _, _, bs, _ in buckets_of([(t or "").encode()], vocabulary) for x in bs.tolist()]
         for i, own in enumerate(bucket):
             seen[own] += 1
             for j in range(max(0, i - 2), min(len(bucket), i + 3)):
                 if i != j:
                     np.add.at(total[own], place[bucket[j]], sign[bucket[j]])
     for t in range(2):
-        total[np.arange(VOCABULARY), place[:, t]] += sign[:, t] * np.maximum(seen, 1) * 4
+        total[np.arange(vocabulary), place[:, t]] += sign[:, t] * np.maximum(seen, 1) * 4
     total /= np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
     total -= (seen[:, None] * total).sum(axis=0) / seen.sum()
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    assert np.allclose(word_vectors(df), total, atol=1e-5)
+    assert np.allclose(word_vectors(df, vocabulary), total, atol=1e-5)
 
 
 def plain_scores(docs, labels, sample=20_000):
@@ -102,12 +103,9 @@ def test_repeated_labelled_rows_give_one_model(spark):
     assert np.allclose(nets[0].a, nets[1].a, atol=1e-3) and abs(nets[0].temperature - nets[1].temperature) < 0.05
 
 
-def test_more_buckets_part_words_and_keep_the_accuracy(spark):
-    from mnemora.llm import quality
-
+def test_other_numbers_of_buckets_keep_the_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(2500)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    assert quality.buckets_for(docs) == VOCABULARY and quality.buckets_for(docs.limit(0)) == VOCABULARY
     vectors = word_vectors(docs, 1 << 15)
     assert vectors.shape == (1 << 15, DIM)
     rows = {r.doc_id: r.text for r in docs.collect()}
