@@ -8,6 +8,9 @@ matrix product is the cheaper test, it is made first, and shared pivots are coun
 is judged only in the first list that has both, so each link counts once. Lists over `cap` are dealt into pairs of parts; tasks return a
 count and a root for each vector, never pairs. Equal vectors are one node with a multiplicity. Vectors travel in their own type.
 
+Vectors often share a direction. Their mean over the sampled ones is taken off before they are described, as far as pairs at the
+least cosine stay NEARNESS alike without it, so that pivots and lists tell vectors apart by what they do not share.
+
 Pivots are distinct vectors in the order of a hash, no two with a cosine of APART or more:
 a dense cluster gets one pivot, so all its pairs are candidates, and the other pivots still tell
 its members from the rest. Pivots from inside it would be nearly equidistant, and their order chance. There is a pivot for
@@ -31,7 +34,7 @@ from mnemora.llm.shared import cut, join_spread, only
 from mnemora.llm.simhash import in_parts
 
 PIVOTS, MOST, EACH = 256, 4096, 128
-APART = 0.5
+APART, NEARNESS = 0.5, 0.77
 PREFIX = 10
 SHARED = 3
 CAP = 2048
@@ -42,9 +45,29 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _apart(rows: list, most: int, apart: float = APART) -> np.ndarray:
-    """The unit vectors of the first rows that are far from all chosen before them."""
+def _off(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Unit vectors without their shared direction, as unit vectors; one that is nothing else stays zero."""
+    y = x - centre
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+
+
+def _centre(x: np.ndarray, least: float) -> np.ndarray:
+    """What the unit vectors share: their mean, or as much of it as leaves pairs of cosine `least` at NEARNESS."""
+    mean = x.mean(axis=0)
+    common = float(mean @ mean)
+    keep = max(0.0, (NEARNESS * (1 - common) - least + common) / (1 - NEARNESS))
+    return mean * max(0.0, 1 - np.sqrt(keep / max(common, 1e-12)))
+
+
+def _points(rows: list, most: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The shared direction of some vectors, and pivots among them."""
     x = _unit(rows)
+    centre = _centre(x, least)
+    return centre, _apart(_off(x, centre), most)
+
+
+def _apart(x: np.ndarray, most: int, apart: float = APART) -> np.ndarray:
+    """The first unit vectors that are far from all chosen before them."""
     free = np.ones(len(x), dtype=bool)
     out = []
     for i in range(len(x)):
@@ -86,10 +109,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int | None
     if pivots is None:
         pivots = min(MOST, max(PIVOTS, nodes.count() // EACH))
     chosen = nodes.select("embedding").orderBy(F.xxhash64("embedding"), "node").limit(8 * pivots).toArrow().column(0)
-    points: dict[int, np.ndarray] = {}  # by length of vector
+    points: dict = {}  # by length of vector
     for x in chosen.to_pylist():
         points.setdefault(len(x), []).append(x)
-    points = {n: _apart(x, pivots) for n, x in points.items()}
+    points = {n: _points(x, pivots, least) for n, x in points.items()}
     listed = prefix - shared + 1
 
     def describe(batches):
@@ -98,7 +121,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, pivots: int | None
             near = np.full((len(lists), prefix), -1, dtype=np.int64)
             for n in {len(x) for x in lists} & points.keys():
                 own = np.flatnonzero([len(x) == n for x in lists])
-                dots = _unit([lists[i] for i in own]) @ points[n].T
+                centre, there = points[n]
+                dots = _off(_unit([lists[i] for i in own]), centre) @ there.T
                 top = np.argpartition(-dots, min(prefix, dots.shape[1]) - 1, axis=1)[:, :prefix] if dots.shape[1] > prefix else np.tile(np.arange(dots.shape[1]), (len(own), 1))
                 order = np.argsort(-np.take_along_axis(dots, top, axis=1), axis=1, kind="stable")
                 near[own, : top.shape[1]] = np.take_along_axis(top, order, axis=1)

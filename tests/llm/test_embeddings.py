@@ -85,5 +85,24 @@ def test_recall_of_a_set_of_queries(spark):
         assert sum(want.values()) > 100 and sum(got[i] for i in want) >= 0.97 * sum(want.values())
 
 
+@pytest.mark.parametrize("shared, chosen", [(0.7, 200), (0.5, 200), (0.97, 1)])
+def test_vectors_with_a_common_direction(spark, shared, chosen):
+    """Pivots tell vectors apart whose mean cosine is high; where nearly all of them are near each other, few pivots list them together."""
+    from mnemora.llm.embeddings import _points
+
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = np.sqrt(shared) * unit(rng.normal(size=64)) + np.sqrt(1 - shared) * unit(rng.normal(size=(900, 64)))
+    noise = rng.normal(size=(600, 64)) * np.linalg.norm(x, axis=1).mean() / 8 * rng.uniform(0.2, 0.39, size=(600, 1))
+    rows = [(i, [float(y) for y in v.astype(np.float32)], 1) for i, v in enumerate(np.concatenate([x, x[:600] + noise]))]
+    assert len(_points([r[1] for r in rows], 256, 0.93)[1]) >= chosen
+    want, links = brute(rows)
+    got = near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], ROWS)).collect()
+    found = sum(r.n_links for r in got) / 2
+    assert all(r.n_links <= want[r.vec_id][0] for r in got)
+    print("links", links, "recall", found / links)
+    assert links > 300 and found / links >= (0.95 if shared < 0.9 else 1.0)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], ROWS)).count() == 0
