@@ -1,8 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
 Words are the runs of ASCII letters, digits and non-ASCII characters of the lower-cased text; shingles are five
-words. Items are partitioned by their number of distinct shingles. An item's sketch is its
-smallest shingle hashes, as many as its partition's largest item needs: of n shingles, a document that
+words. Items are partitioned by their number of distinct shingles. An item's sketch is its first shingles in one order of all: those
+of the fewest items first, equal ones by their hash, so that a phrase many items begin with is no candidate of each. It has as
+many as its partition's largest item needs: of n shingles, a document that
 holds a share t misses at most n - ceil(t n), so n - ceil(t n) + 1 of them can't all be missing. Documents
 look up their own shingles in the inverted sketches, so a short item is found inside a document of any
 length with recall 1; candidates are then verified on the shingles' words.
@@ -60,11 +61,13 @@ class Items:
             self.hashes.append(np.unique(h))
             self.widths.append(width)
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        known, times = np.unique(np.concatenate(self.hashes or [np.empty(0, np.uint64)]), return_counts=True)
         for width in sorted({w for w in self.widths if w}):
             keys, owners = [], []
             for item, h in enumerate(self.hashes):
                 if self.widths[item] == width:
-                    sketch = h[: self._sketch_size(len(self.phrases[item]))]
+                    rare = np.argsort(times[np.searchsorted(known, h)], kind="stable")  # h is in order
+                    sketch = h[rare[: self._sketch_size(len(self.phrases[item]))]]
                     keys.append(sketch)
                     owners.append(np.full(len(sketch), item))
             key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -91,8 +94,10 @@ class Items:
                 spots = np.flatnonzero(table[h >> np.uint64(64 - _TABLE_BITS)])
                 spots = spots[text_of[spots] == text_of[spots + width - 1]]
                 lo, hi = np.searchsorted(keys, h[spots], "left"), np.searchsorted(keys, h[spots], "right")
-                pairs = {(int(text_of[s]), int(owners[k])) for s, x, y in zip(spots[hi > lo], lo[hi > lo], hi[hi > lo]) for k in range(x, y)}
-                for text, item in sorted(pairs):
+                times = hi - lo
+                entry = np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                pairs = np.unique(np.repeat(text_of[spots], times) * len(self.ids) + owners[entry])
+                for text, item in zip((pairs // len(self.ids)).tolist(), (pairs % len(self.ids)).tolist()):
                     own = np.arange(at[text], at[text + 1] - width + 1)
                     own = own[np.isin(h[own], self.hashes[item])]
                     shared = len({_phrase(data, starts, ends, i, width) for i in own.tolist()} & self.phrases[item])

@@ -31,7 +31,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 22
 BANDS = 8
-PART_BYTES = 24 << 20
+PART_BYTES, PART_ROWS = 24 << 20, 4096
 SMALL = 64
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
@@ -88,6 +88,13 @@ def verified_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, least:
     n = len(fps)
     parent = np.arange(n)
     out: list[tuple[int, int]] = []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = int(parent[x])
+        return x
+
     words = -(-n // LANES)
     planes = planes_of(np.concatenate([fps, np.repeat(fps[:1], words * LANES - n)])[None, :])
     every = np.arange(words * LANES)
@@ -95,14 +102,17 @@ def verified_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, least:
     while s < n:
         q = np.arange(s, min(n, s + step))
         s, step = s + step, min(256, 4 * step)
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
         label = np.concatenate([parent, np.full(words * LANES - n, -1)])
         dead = (label == parent[q][:, None]) | (label < 0) | (every <= q[:, None])
         near = neighbours(planes, fps[q][None, :], np.packbits(dead, axis=1, bitorder="little").view(U64)[None], radius)[0]
         i, j = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
         for x, y in zip(q[i].tolist(), j.tolist()):
-            if parent[x] != parent[y] and similarity(sets[x], sets[y]) >= least:
+            a, b = root(x), root(y)
+            if a != b and similarity(sets[x], sets[y]) >= least:
                 out.append((x, y))
-                parent[parent == parent[y]] = parent[x]
+                parent[b] = a
     return out
 
 
@@ -173,25 +183,29 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
     """(doc_id, text_hash) of one row of each group of near copies: the first by doc_id, then by the hash of its text."""
 
     def prints(batches):
+        import xxhash
+
         for batch in batches:
             for a, b, h, count in shingles_of(utf8(batch.column("text")), shingle):
                 _, keys = simhash_and_keys(h, count)
                 part = batch.slice(a, b - a)
                 lists = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1).view(np.int64)))
                 columns = [part.column(c) for c in ("doc_id", "text_hash", "size")]
-                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(count)], ["doc_id", "text_hash", "size", "keys", "grams"])
+                ends = np.cumsum(count)
+                words = [xxhash.xxh3_128_digest(h[e - n : e].tobytes()) for e, n in zip(ends.tolist(), count.tolist())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.binary()), lists, pa.array(count)], ["doc_id", "text_hash", "size", "words", "keys", "grams"])
 
     source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), "text")
-    seen = source.mapInArrow(prints, "doc_id long, text_hash long, size int, keys array<long>, grams long")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"))
-    nodes = seen.groupBy("text_hash", "size").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("grams").alias("grams"))
+    seen = source.mapInArrow(prints, "doc_id long, text_hash long, size int, words binary, keys array<long>, grams long")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("size"))
+    nodes = seen.groupBy("words").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.first("grams").alias("grams"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     members = nodes.select("node", "grams", F.explode("keys").alias("key"))
     met = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.sum(8 * F.col("grams")).alias("bytes")).where("n > 1"))
     few = members.join(met.where(F.col("n") <= SMALL).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     few = few.select("nodes").distinct().select(F.xxhash64("nodes").alias("gid"), F.lit(0).alias("a"), F.lit(-1).alias("b"), F.explode("nodes").alias("node"))
-    parts = F.ceil(F.col("bytes") / part_bytes).cast("int")
+    parts = F.greatest(F.ceil(F.col("bytes") / part_bytes), F.ceil(F.col("n") / PART_ROWS)).cast("int")
     many = members.join(met.where(F.col("n") > SMALL).select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     many = many.select(F.col("key").alias("gid"), F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node")
@@ -206,14 +220,14 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARI
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(grams, pa.binary())], ["node", "fp", "grams"])
 
     no_id = F.lit(-(1 << 63))  # a node's text is read from its first row, so that a text of many copies is no hot key
-    wanted = nodes.join(groups.select("node").distinct(), "node").select(F.coalesce("first.doc_id", no_id).alias("at"), "text_hash", "size", "node")
+    wanted = nodes.join(groups.select("node").distinct(), "node").select(F.coalesce("first.doc_id", no_id).alias("at"), "first.text_hash", "first.size", "node")
     texts = source.select(F.coalesce("doc_id", no_id).alias("at"), "text_hash", "size", "text").join(wanted, ["at", "text_hash", "size"]).dropDuplicates(["node"]).select("node", "text")
     rows = groups.join(texts.mapInArrow(sets, "node long, fp long, grams binary"), "node")
     links = rows.repartition("gid", "a", "b").sortWithinPartitions("gid", "a", "b").mapInArrow(_links_of_groups(radius, least), "u long, v long")
     linked = cut(connected_components(links))
-    named = nodes.select("node", "text_hash", "size", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = named.groupBy("component").agg(F.min(F.struct("first", "text_hash", "size")).alias("head"))
-    return heads.select(F.col("head.first.doc_id").alias("doc_id"), F.col("head.text_hash").alias("text_hash"))
+    named = nodes.select("node", "first").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = named.groupBy("component").agg(F.min("first").alias("head"))
+    return heads.select(F.col("head.doc_id").alias("doc_id"), F.col("head.text_hash").alias("text_hash"))
 
 
 def keep_one_copy(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:

@@ -56,3 +56,18 @@ def test_empty(spark):
     i = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert contained_items(d, i.limit(0)).count() == 0 and contained_items(d.limit(0), i).count() == 0
     assert clean_documents(d, i.limit(0)).count() == 1 and clean_documents(d, i).count() == 0
+
+
+def test_items_with_a_common_opening_are_not_candidates_of_each_document():
+    import time
+
+    from mnemora.llm.decontamination import CONTAINMENT, SHINGLE, Items
+
+    opening = " ".join(f"open{i}" for i in range(12))
+    items = [f"{opening} " + " ".join(f"w{i}x{k}" for k in range(8)) for i in range(4000)]
+    index = Items(list(range(4000)), [t.encode() for t in items], CONTAINMENT, SHINGLE)
+    texts = [(" ".join(f"d{j}y{k}" for k in range(200)) + " " + (items[j] if j % 4 == 0 else opening)).encode() for j in range(40)]
+    began = time.time()
+    got = index.matches(texts)
+    assert time.time() - began < 2
+    assert [(t, i) for t, i, *_ in got] == [(j, j) for j in range(0, 40, 4)]

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -114,3 +115,23 @@ def test_edges(spark):
     df = spark.createDataFrame(rows, schema)
     assert sorted(map(tuple, keep_one_copy(df).collect())) == [rows[0], rows[4]]
     assert keep_one_copy(df.limit(0)).count() == 0
+
+
+def test_many_texts_of_the_same_few_words(spark):
+    """100,000 texts that differ in white space only are one node."""
+    gap = "concat(repeat(' ', cast(id % 300 as int) + 1), repeat('\\n', cast(id div 300 as int)))"
+    rows = spark.range(100_000).selectExpr("id as doc_id", f"concat('Page', {gap}, '1') as text")
+    assert rows.select("text").distinct().count() == 100_000
+    began = time.time()
+    assert [r.doc_id for r in keep_one_copy(rows).select("doc_id").collect()] == [0]
+    assert time.time() - began < 40
+
+
+def test_parts_are_bounded_by_rows(spark, monkeypatch):
+    """Many near, not equal, texts under one key are dealt into pairs of parts and stay one group."""
+    from mnemora.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "PART_ROWS", 40)
+    common = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, f"{common} end{i}") for i in range(130)]
+    assert keep_one_copy(spark.createDataFrame(rows, "doc_id long, text string")).count() == 1
