@@ -78,3 +78,19 @@ def with_sum_before(df: DataFrame, key: list[str], order: str, value: str, name:
     totals = totals.withColumn(handed, F.coalesce(F.sum(total).over(before), F.lit(0))).drop(total)
     out = _handed_on(inner, totals, key, of)
     return out.select(*[F.col(f"a.`{c}`") for c in df.columns], (F.col(f"a.{own}") + F.coalesce(F.col(f"b.{handed}"), F.lit(0))).alias(name))
+
+
+def with_next(df: DataFrame, key: list[str], order: list[str], value: str, name: str, span: int = SPAN) -> DataFrame:
+    """df with `name`: the first `value` that is not null among the rows after, by `order`; null where there is none."""
+    at = free_name(df, "place")
+    rows = numbered(df, key, order, at)
+    of = free_name(rows, "span")
+    rows = rows.withColumn(of, F.floor(F.col(at) / span))
+    own, head, later = free_name(rows, "own"), free_name(rows, "head"), free_name(rows, "later")
+    here = W.partitionBy(*_named(key), of).orderBy(at).rowsBetween(1, W.unboundedFollowing)
+    inner = rows.withColumn(own, F.first(f"`{value}`", ignorenulls=True).over(here))
+    heads = rows.groupBy(*_named(key), of).agg(F.min_by(f"`{value}`", F.when(F.col(f"`{value}`").isNotNull(), F.col(at))).alias(head))
+    after = W.partitionBy(*_named(key)).orderBy(of).rowsBetween(1, W.unboundedFollowing)
+    heads = heads.withColumn(later, F.first(head, ignorenulls=True).over(after)).drop(head)
+    out = _handed_on(inner, heads, key, of)
+    return out.select(*[F.col(f"a.`{c}`") for c in df.columns], F.coalesce(F.col(f"a.{own}"), F.col(f"b.{later}")).alias(name))

@@ -1,5 +1,5 @@
 """The registered queries and their SQL."""
 
-from mnemora.plans import indexed, queries, store
+from mnemora.plans import changed, indexed, queries, store
 
-__all__ = ["indexed", "queries", "store"]
+__all__ = ["changed", "indexed", "queries", "store"]
