@@ -20,10 +20,10 @@ def remove(spark: SparkSession, folder: str) -> None:
     files.delete(path, True)
 
 
-def numbered_folders(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """The numbers n of the finished folders name=n in a folder, in order."""
+def numbered_folders(spark: SparkSession, folder: str, name: str, finished: bool = True) -> list[int]:
+    """The numbers n of the folders name=n in a folder, in order; of finished writes only, unless told otherwise."""
     path, files = _open(spark, folder)
     if not files.exists(path):
         return []
     found = [f.getPath().getName() for f in files.listStatus(path)]
-    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}=") and exists(spark, f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n.split("=")[1]) for n in found if n.startswith(f"{name}=") and (not finished or exists(spark, f"{folder}/{n}/_SUCCESS")))

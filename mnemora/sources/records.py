@@ -11,7 +11,7 @@ import hashlib
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from mnemora.functions.records import canonical, strict_load
 from mnemora.operators.ordered import with_previous
 
 RECORD_BYTES, TEXT_BYTES, OBJECT_BYTES, FRONT_BYTES = 16 << 20, 8 << 20, 64 << 20, 1 << 20
+# The version of records, and their fields.
+VERSION = "0.2"
 SOURCE = T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "uri", "account", "device", "external_id", "session", "workspace")] + [T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
 CONTENT = T.StructType([T.StructField("media_type", T.StringType()), T.StructField("filename", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType())])
 PAYLOAD = T.StructType([T.StructField(n, T.StringType()) for n in ("state", "object", "retention")] + [T.StructField("required_representations", T.ArrayType(T.StringType()))])
@@ -58,7 +60,11 @@ def _files(spark: SparkSession, root: str, glob: str, most: int) -> DataFrame:
 
 
 def _records(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    rows = _files(spark, root, "*.json", RECORD_BYTES).select("path", checked_record("content").alias("r"))
+    return _judged(_files(spark, root, "*.json", RECORD_BYTES), schema)
+
+
+def _judged(files: DataFrame, schema: T.StructType) -> DataFrame:
+    rows = files.select("path", checked_record("content").alias("r"))
     named = F.regexp_extract("path", r"([^/]+)\.json$", 1)
     out = rows.select("path", F.col("r.text").alias("raw"), F.from_json("r.text", schema).alias("v"), F.col("r.error").alias("error"))
     fault = F.coalesce("error", F.when(~F.col("v.id").eqNullSafe(named), F.lit("file name is not the id")))
@@ -75,6 +81,23 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
     return _records(spark, root, EVENT)
 
 
+def stream_events(spark: SparkSession, root: str) -> DataFrame:
+    """The event log below root as a stream: each file is read once, also over restarts from a checkpoint. Rows are those of `read_events`; a file over
+    the limit is not read into the stream."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
+    return _judged(files.where(F.col("length") <= RECORD_BYTES).select("path", "length", "content"), EVENT)
+
+
+def event_error(raw: Column) -> Column:
+    """What else is wrong with a sealed event, a JSON text: the first fault under the schema of events, its version or its actor; null for a good one."""
+    from mnemora.functions.json_schema import json_faults
+    from mnemora.functions.text import is_actor
+    from mnemora.sources.schemas import event_schema
+
+    first = F.get(json_faults(event_schema(version=VERSION), raw), F.lit(0))
+    return F.coalesce(first, F.when(~is_actor(F.get_json_object(raw, "$.actor")), F.lit("$.actor: not an actor")))
+
+
 def read_objects(spark: SparkSession, root: str, most: int = OBJECT_BYTES) -> DataFrame:
     """(digest, size, content, error): the digest is the file's name, checked against its bytes."""
     files = _files(spark, root, "*", most)

@@ -11,12 +11,14 @@ _EVENT_TYPE = "^[a-z][a-z0-9]*(?:[._-][a-z0-9]+)+$"
 _SEAL = "^sha256:[0-9a-f]{64}$"
 
 
-def event_schema(data: dict | bool = True) -> dict:
-    """An event of the log; `data` is the schema of its data."""
+def event_schema(data: dict | bool = True, version: str | None = None) -> dict:
+    """An event of the log; `data` is the schema of its data. With a version, records must name it and their type."""
     identifier = {"type": "string", "pattern": _UUID7}
     fields = {
         "id": identifier, "sequence": {"type": "integer", "minimum": 1}, "previous_event": {"oneOf": [identifier, {"type": "null"}]}, "event_type": {"type": "string", "pattern": _EVENT_TYPE},
         "recorded_at": {"type": "string", "format": "date-time", "pattern": _TIME}, "actor": {"type": "string", "minLength": 1}, "target": identifier, "data": data,
         "sensitivity": {"enum": list(LABELS)}, "sealed": {"const": True}, "integrity": {"type": "string", "pattern": _SEAL},
     }
+    if version is not None:
+        fields |= {"schema": {"const": version}, "record_type": {"const": "event"}}
     return {"type": "object", "required": [f for f in fields if f != "target"], "properties": fields}

@@ -1,4 +1,8 @@
-"""Keeps the folded state of targets up to date from a stream of events, without reading the log again."""
+"""Keeps the folded state of targets up to date from a stream of events, without reading the log again.
+
+The state lies in PARTS parts by a hash of the target. A batch reads and writes only the parts that its events touch, each as a new
+version of the part; of a part the last two versions are kept, so that a batch can be repeated, and older ones are removed.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from mnemora.checkpoints import cut
 from mnemora.operators.folds import effective_state
-from mnemora.streaming.turns import _exists
+from mnemora.sources.folders import numbered_folders, remove
 
 FOLDED = ("target", "state", "state_seq", "n_representations", "retention_seq", "last_seq")
+PARTS = 256
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,23 +27,44 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def current(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
-    """The newest snapshot in the folder `store` (of a batch before the given one), or null if there is none."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    if not _exists(spark, store):
-        return None
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    numbers = [int(f.getPath().getName().split("=")[1]) for f in files if f.getPath().getName().startswith("batch=")]
-    done = [n for n in numbers if (before is None or n < before) and _exists(spark, f"{store}/batch={n}/_SUCCESS")]
-    return spark.read.parquet(f"{store}/batch={max(done)}") if done else None
+def _part(target) -> F.Column:
+    return F.pmod(F.xxhash64(target), F.lit(PARTS)).cast("int")
+
+
+def _versions(spark: SparkSession, store: str) -> dict[int, list[int]]:
+    """The finished batches that have written each part, in order; no more than a few versions of PARTS parts are kept."""
+    out: dict[int, list[int]] = {}
+    for number in numbered_folders(spark, store, "batch"):
+        for part in numbered_folders(spark, f"{store}/batch={number}", "part", finished=False):
+            out.setdefault(part, []).append(number)
+    return out
+
+
+def current(spark: SparkSession, store: str, before: int | None = None, parts: list[int] | None = None) -> DataFrame | None:
+    """The newest state in the folder `store` (of batches before the given one; of some parts only), or null if there is none."""
+    newest = {p: max(n for n in of if before is None or n < before) for p, of in _versions(spark, store).items() if (parts is None or p in parts) and (before is None or of[0] < before)}
+    return spark.read.parquet(*[f"{store}/batch={n}/part={p}" for p, n in sorted(newest.items())]) if newest else None
+
+
+def _drop_old(spark: SparkSession, store: str, parts: list[int], number: int) -> None:
+    versions = _versions(spark, store)
+    for part in parts:
+        for old in [n for n in versions.get(part, []) if n <= number][:-2]:
+            remove(spark, f"{store}/batch={old}/part={part}")
+            if not numbered_folders(spark, f"{store}/batch={old}", "part", finished=False):
+                remove(spark, f"{store}/batch={old}")
 
 
 def refresh(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Folds a stream of events(target, seq, kind) into snapshots in `store`, one a batch; a repeated batch writes its own snapshot again."""
+    """Folds a stream of events(target, seq, kind) into `store`; a repeated batch writes its own versions again."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        new, old = effective_state(batch), current(batch.sparkSession, store, number)
-        (new if old is None else merged(old, new)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        spark = batch.sparkSession
+        new = cut(effective_state(batch).withColumn("part", _part(F.col("target"))))
+        touched = [r.part for r in new.select("part").distinct().collect()]  # at most PARTS numbers
+        old = current(spark, store, number, touched)
+        state = new if old is None else merged(old, new).withColumn("part", _part(F.col("target")))
+        state.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
+        _drop_old(spark, store, touched, number)
 
     return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -97,6 +97,25 @@ def ingest(turns: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     return turns.writeStream.foreachBatch(lambda batch, number: store_batch(store, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def judged_turns(turns: DataFrame) -> DataFrame:
+    """The stream of turns with `outcome`: `new` for the first of an external id, `replay` for an equal later one, else `conflict`. State is the digest
+    of each external id, keyed and kept by Spark, so a batch reads and writes the ids of its own turns alone; of turns that arrive in one
+    batch the first is the least by digest."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("digest")  # the turns of one external id in one batch
+        outcomes = []
+        for digest in rows["digest"]:
+            outcomes.append("new" if held is None else "replay" if digest == held else "conflict")
+            held = held or digest
+        state.update((held,))
+        yield rows.assign(outcome=outcomes)
+
+    named = with_identity(turns).select(*[c.split()[0] for c in TURN.split(", ")])
+    return named.groupBy("external_id").applyInPandasWithState(step, f"{TURN}, outcome string", "digest string", "append", GroupStateTimeout.NoTimeout)
+
+
 OUT = "session_id string, turn_id string, user_text string, assistant_text string"
 STATE = "phase string, user_text string, assistant_text string"
 
