@@ -9,7 +9,7 @@ import time
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _no_repeats(pairs):
@@ -105,3 +105,18 @@ def text_prefix(data: pd.Series, most: pd.Series) -> pd.Series:
             return raw[: e.start].decode("utf-8") if cut and e.reason == "unexpected end of data" and e.end == len(raw) else None
 
     return pd.Series([one(r, n) for r, n in zip(data, most)])
+
+
+@F.pandas_udf(StructType([StructField("chars", LongType()), StructField("bad_at", LongType())]))
+def utf8_facts(data: pd.Series) -> pd.DataFrame:
+    """The characters of strict UTF-8 before the first byte that is none, and where that byte stands (null in valid text)."""
+
+    def one(raw):
+        if raw is None:
+            return 0, None
+        try:
+            return len(bytes(raw).decode("utf-8")), None
+        except UnicodeDecodeError as e:
+            return len(bytes(raw)[: e.start].decode("utf-8")), e.start
+
+    return pd.DataFrame([one(x) for x in data], columns=["chars", "bad_at"]).astype({"bad_at": "Int64"})

@@ -74,3 +74,26 @@ def tree_digest(s, d):
     """One digest of the digests of all documents in their order."""
     rows = table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
     return changes.tree_hash(rows.withColumn("by", F.col("digest")), ["by", "doc_id"], "digest")
+
+
+_ROOM = 700
+
+
+@query(f"""with recursive p as (select conv_id, turn, case turn % 3 when 1 then 'é😀' || text else text end as said, turn % 5 <> 4 as textual from conversations),
+parts as (select *, case when turn % 7 = 5 then 0 when turn % 7 = 3 then strlen(said) end as bad, row_number() over (partition by conv_id order by turn) as n from p),
+w as (select distinct conv_id, cast(0 as bigint) as n, cast({_ROOM} as bigint) as room, '' as text, false as cut from parts
+ union all select conv_id, n, room - used - case when used > 0 and room - used > 1 then 2 else 0 end, text || case when text <> '' and used > 0 then chr(10) || chr(10) else '' end || left(said, used), cut
+ from (select s.conv_id, s.n, w.room, w.text, s.said, ok and (length(said) > w.room or bad is not null) as cut, cast(case when ok then least(length(said), w.room) else 0 end as bigint) as used
+  from w join (select * from parts) s on s.conv_id = w.conv_id and s.n = w.n + 1, lateral (select s.textual and (s.bad is null or 4 * w.room <= s.bad) as ok) where not w.cut and w.room > 0))
+select conv_id as id, sha256(arg_max(text, n)) as text_sha256, arg_max(length(text), n) as n_chars, arg_max(cut, n) as truncated from w group by conv_id""")
+def bounded_parts(s, d):
+    """Each conversation's turns as parts of one text: some in wide characters, some of other types, some with a byte that is no UTF-8 at the beginning or end."""
+    from mnemora.operators.parts import bounded_texts
+
+    said = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("é😀"), "text")).otherwise(F.col("text")).cast("binary")
+    spoilt = F.unhex(F.lit("ff"))
+    content = F.when(F.col("turn") % 7 == 5, F.concat(spoilt, said)).when(F.col("turn") % 7 == 3, F.concat(said, spoilt)).otherwise(said)
+    kind = F.when(F.col("turn") % 5 == 4, "image/png").otherwise("text/plain")
+    parts = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), content.alias("content"), kind.alias("media_type"))
+    out = bounded_texts(parts, _ROOM)
+    return out.select("id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), "truncated")
