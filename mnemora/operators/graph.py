@@ -125,6 +125,41 @@ def derivative_reasons(captures: DataFrame, representations: DataFrame, objects:
     return only.select("id", F.col("digest").alias("__d")).join(bad.unionByName(missing).unionByName(bare), "id").select(F.col("__d").alias("digest"), F.concat(F.col("id").cast("string"), "fault").alias("reason")).distinct()
 
 
+def preview_reasons(
+    captures: DataFrame, state: DataFrame, *, raw_needed: DataFrame, held: DataFrame, held_objects: DataFrame, protected: DataFrame, objects: DataFrame, changes: DataFrame, representations: DataFrame, now: int, days: int
+) -> DataFrame:
+    """(digest, reason), distinct, over all rules of a retention preview: captures(id, digest, retention, ingested, required) whose bytes are present, in
+    each class by its own rule (grace from its dates, derivative-only by what is left of its representations), what active claims need, holds on
+    evidence (id) and objects (digest), protected digests, and objects(digest, error) whose bytes are not whole. One row a reason."""
+    gone = state.where("state <> 'present'").select(F.col("target").alias("id"))
+    kept = captures.where("digest is not null").join(gone, "id", "left_anti")
+    named = lambda text: F.concat(F.col("id").cast("string"), F.lit(text))
+    by_class = F.when(F.col("retention").isin("pinned", "durable"), F.concat(named(" retention is "), F.col("retention"))).when(~F.coalesce(F.col("retention").isin("grace", "derivative-only"), F.lit(False)), named(" retention does not permit raw eviction"))
+    of = lambda rows, reason: rows.select("digest", F.lit(reason).alias("reason"))
+    present = kept.select("digest").distinct()
+    parts = [
+        kept.select("digest", by_class.alias("reason")).where("reason is not null"), grace_reasons(kept, changes, now, days), derivative_reasons(kept, representations, objects),
+        of(kept.join(raw_needed.select(F.col("evidence_id").alias("id")), "id", "left_semi"), "active Claim requires raw bytes"), of(kept.join(held.select("id"), "id", "left_semi"), "owner or legal hold"),
+        of(present.join(held_objects.select("digest"), "digest", "left_semi"), "owner or legal hold"), of(present.join(protected.select("digest"), "digest", "left_semi"), "object is kept as a snapshot or representation"),
+        of(present.join(objects.where("error is null").select("digest"), "digest", "left_anti"), "object is missing or not whole"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def preview_confirmation(groups: DataFrame, policy_digest: str, sequence: int) -> DataFrame:
+    """One row (n_candidates, estimated_bytes, confirmation) of groups(digest, size, n_evidence, evictable): what an owner confirms. It changes with the policy, the end
+    of the log, and any candidate or its place, through the tree hash of all of them."""
+    from mnemora.operators.changes import tree_hash
+
+    free = groups.where("evictable").withColumn("__said", F.sha2(F.concat_ws("|", "digest", "size", "n_evidence"), 256))
+    sums = free.agg(F.count("*").alias("n_candidates"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("estimated_bytes"))
+    said = F.concat_ws("|", F.lit(policy_digest), F.lit(sequence), "n_candidates", "estimated_bytes", "root")
+    return sums.join(F.broadcast(tree_hash(free, ["digest"], "__said"))).select("n_candidates", "estimated_bytes", F.sha2(said, 256).alias("confirmation"))
+
+
 def retention_plan(groups: DataFrame, log: DataFrame, policy_digest: str) -> DataFrame:
     """One row (durable_sequence, n_candidates, estimated_bytes, confirmation): what an owner confirms. The confirmation changes with the policy, the
     log's end, the bytes, and any candidate of groups(digest, size, evictable); candidates are folded by xors and sums, so it needs no order."""

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.operators import changes
-from mnemora.plans.queries import query
-from mnemora.sources.views import table
+from mnemora.checkpoints import cut
+from mnemora.operators import changes, folds, graph
+from mnemora.plans.queries import _STATE, _raw_needed, query
+from mnemora.sources import views as V
+from mnemora.sources.views import _list, table, with_views
 
 
 @query("""with recursive c as (select user_id as path, event_id as seq, cast(json_extract(props, '$.k') as int) % 3 as before, cast(json_extract(props, '$.k') as int) // 3 % 3 as after from events),
@@ -97,3 +99,61 @@ def bounded_parts(s, d):
     parts = table(s, d, "conversations").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), content.alias("content"), kind.alias("media_type"))
     out = bounded_texts(parts, _ROOM)
     return out.select("id", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_chars"), "truncated")
+
+
+_DAY, _NOW, _DAYS = 86_400_000_000, 1_700_000_000_000_000, 30
+_PREVIEW = with_views("ev_log", "claim_rows", "claim_evidence") + f""", docs as (select doc_id as id, sha256(text) as digest, strlen(text) as size, {_list(V.CLASSES)}[doc_id % 5 + 1] as retention,
+ case when doc_id % 13 <> 4 then {_NOW} - (doc_id % 60) * {_DAY} end as ingested from documents),
+state as (select target, {_STATE} as state from ev_log group by target), kept as (select * from docs where id not in (select target from state where state <> 'present')),
+changed as (select id, {_NOW} - (id % 45) * {_DAY} as changed_at from docs where id % 9 = 0), whole as (select digest from docs group by digest having bool_and(id % 31 <> 0)),
+reps as (select a.id, case when a.id % 4 = 0 then 'text' when a.id % 29 = 3 then ' ' else 'ocr' end as role, b.digest from docs a join docs b on b.id = a.id + 1 where a.id % 3 <> 1),
+sound as (select id, role from reps where trim(role) <> '' and digest in (select digest from whole)),
+reasons as (select digest, id || ' retention is ' || retention as reason from kept where retention in ('pinned', 'durable')
+ union select digest, id || ' retention does not permit raw eviction' from kept where retention = 'reference-only'
+ union select digest, kept.id || ' grace period has not expired' from kept left join changed on changed.id = kept.id where retention = 'grace' and coalesce(coalesce(changed_at, ingested) > {_NOW - _DAYS * _DAY}, true)
+ union select digest, kept.id || case when trim(r.role) = '' then ' has a malformed representation' else ' representation ''' || r.role || ''' is invalid' end from kept join (select id, role, digest as rd from reps) r on r.id = kept.id
+  where retention = 'derivative-only' and (trim(r.role) = '' or rd not in (select digest from whole))
+ union select digest, id || ' lacks required representation role: ocr' from kept where retention = 'derivative-only' and id % 2 = 0 and id not in (select id from sound where role = 'ocr')
+ union select digest, id || ' has no retained representation' from kept where retention = 'derivative-only' and id % 2 = 1 and id not in (select id from sound)
+ union select digest, 'active Claim requires raw bytes' from kept where id in (select evidence_id from claim_rows join claim_evidence on claim_id = claim_rows.id where state = 'active' and requires = 'raw')
+ union select digest, 'owner or legal hold' from kept where id % 41 = 0 or digest in (select digest from docs where id % 43 = 0)
+ union select digest, 'object is kept as a snapshot or representation' from kept where digest in (select digest from docs where id % 47 = 0)
+ union select digest, 'object is missing or not whole' from kept where digest not in (select digest from whole)),
+verdicts as (select digest, size, n_evidence, coalesce(n, 0) as n_reasons, n is null as evictable from (select digest, max(size) as size, count(*) as n_evidence from kept group by digest) g left join (select digest, count(*) as n from reasons group by digest) using (digest))"""
+
+
+def _preview(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reasons and verdicts over all documents as captures, with dates, holds, representations and objects by their ids."""
+    docs, id_ = table(s, d, "documents"), F.col("id")
+    pick = F.element_at(F.array(*map(F.lit, V.CLASSES)), (F.col("doc_id") % 5 + 1).cast("int"))
+    ingested = F.when(F.col("doc_id") % 13 != 4, F.lit(_NOW) - (F.col("doc_id") % 60) * _DAY)
+    required = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("ocr"))).otherwise(F.expr("cast(array() as array<string>)"))
+    captures = cut(docs.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"), pick.alias("retention"), ingested.alias("ingested"), required.alias("required")))
+    objects = captures.groupBy("digest").agg(F.when(F.bool_and(id_ % 31 != 0), F.lit(None).cast("string")).otherwise("bytes differ").alias("error"))
+    role = F.when(id_ % 4 == 0, "text").when(id_ % 29 == 3, " ").otherwise("ocr")
+    after = captures.select((id_ - 1).alias("id"), "digest")
+    representations = captures.where("id % 3 <> 1").select("id", role.alias("role")).join(after, "id")
+    state = folds.effective_state(V.ev_log(s, d))
+    reasons = graph.preview_reasons(
+        captures, state, raw_needed=_raw_needed(s, d), held=captures.where("id % 41 = 0"), held_objects=captures.where("id % 43 = 0"), protected=captures.where("id % 47 = 0"), objects=objects,
+        changes=captures.where("id % 9 = 0").select("id", (F.lit(_NOW) - (id_ % 45) * _DAY).alias("at")), representations=representations, now=_NOW, days=_DAYS,
+    )
+    return reasons, graph.retention_groups(captures, state, reasons)
+
+
+@query(_PREVIEW + " select * from reasons")
+def retention_preview_reasons(s, d):
+    return _preview(s, d)[0]
+
+
+@query(_PREVIEW + " select * from verdicts")
+def retention_preview(s, d):
+    return _preview(s, d)[1]
+
+
+@query(_PREVIEW + """, free as (select size, sha256(digest || '|' || size || '|' || n_evidence) as said, row_number() over (order by digest) - 1 as place from verdicts where evictable),
+b as (select place // 1024 as k, sha256(string_agg(said, '' order by place)) as said from free group by place // 1024), c as (select sha256(string_agg(said, '' order by k)) as said from b),
+sums as (select count(*) as n_candidates, cast(coalesce(sum(size), 0) as bigint) as estimated_bytes from free)
+select n_candidates, estimated_bytes, sha256('policy|7|' || n_candidates || '|' || estimated_bytes || '|' || case when n_candidates = 0 then sha256('') when n_candidates > 1024 then c.said else (select said from b) end) as confirmation from sums cross join c""")
+def retention_confirmation(s, d):
+    return graph.preview_confirmation(_preview(s, d)[1], "policy", 7)
