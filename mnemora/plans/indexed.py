@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from mnemora.checkpoints import ensure_checkpoint_dir
 from mnemora.functions.json_schema import json_faults
-from mnemora.operators import graph, postings, search
-from mnemora.plans.queries import _GRAMS, _HITS, _PLAIN, _TOKENS, PHRASE, PLAIN, QUERY, _bm25_sql, query
+from mnemora.operators import graph, packs, postings, search
+from mnemora.plans.queries import _FOLD, _GRAMS, _HITS, _PLAIN, _TOKENS, PHRASE, PLAIN, QUERY, _bm25_sql, _budget_sql, query
 from mnemora.sources import views as V
 from mnemora.sources.schemas import event_schema
 from mnemora.sources.views import table, with_views
@@ -113,3 +113,30 @@ def schema_faults(s, d):
     record = F.concat(F.lit("{"), F.concat_ws(", ", *said, actor), F.lit("}"))
     found = json_faults(event_schema({"type": "object", "properties": {"k": {"type": "integer", "maximum": 90}}}), record)
     return e.select("event_id", F.array_join(found, "; ").alias("faults"))
+
+
+_IN_FORCE_BM25 = _bm25_sql(QUERY).replace("doc_id % 4 as rank, text", "in_force.rank as rank, text", 1).replace("from documents)", "from documents join in_force on in_force.id = doc_id)")
+
+
+@query(_LABELS + ", " + _IN_FORCE_BM25 + f""", shown as (select doc_id, source, trim(text, ' ') as text, printf('%s/%09d', source, doc_id) as path, source = 'src0' as core, doc_id % 3 <> 2 and doc_id % 7 <> 0 and doc_id % 50 = 1 as carries from documents join in_force on id = doc_id where rank <= 1),
+best as (select id, 1 as tier, row_number() over (order by score desc, id) as place from scored qualify place <= 80
+ union all select doc_id, 2, row_number() over (order by doc_id) as place from documents join in_force on id = doc_id where rank <= 1 and contains({_FOLD}, '{QUERY}') and (select count(*) from scored) < 80 qualify place <= 80),
+hits as (select id, row_number() over (order by tier, place) as pos from (select * from best qualify row_number() over (partition by id order by tier, place) = 1) order by tier, place limit 20),
+layers as (select 0 as layer_no, 'core' as layer, 8000 as budget, row_number() over (order by path) as pos, 'canon' as source_kind, doc_id as source_id, source as title, text as snippet from shown where core
+ union all select 1, 'continuity', 4000, row_number() over (order by which, late, path), kind, sid, title, snippet from
+  (select 0 as which, -turn as late, '' as path, 'evidence' as kind, {V.CONVERSATIONS_FROM} + 1000 * conv_id + turn as sid, role as title, text as snippet from conversations where conv_id = 1
+   union all select 1, 0, path, 'canon', doc_id, source, text from shown where carries)
+ union all select 2, 'relevant', 12000, pos, 'canon', id, source, left(documents.text, 320) from hits join documents on doc_id = id),
+once as (select * from layers qualify row_number() over (partition by source_kind, source_id order by layer_no, pos) = 1) """ + _budget_sql("select * from once", "layer", "pos", "layer, pos, source_kind, source_id", "budget"))
+def context_pack(s, d):
+    """A pack of one conversation and all documents: those of one source are core, some carry on between sessions."""
+    docs, *rest = _labelled(s, d)
+    more = table(s, d, "documents").select(
+        F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), (F.col("source") == "src0").alias("core"), F.col("source").alias("title"),
+        F.when((F.col("doc_id") % 3 != 2) & (F.col("doc_id") % 50 == 1), "Project").otherwise("Note").alias("type"), F.when(F.col("doc_id") % 7 == 0, "deprecated").otherwise("active").alias("status"),
+        F.lit(None).cast("array<struct<state:string,predicate:string,object_text:string>>").alias("claims"),
+    )
+    c = table(s, d, "conversations")
+    source = F.struct(F.col("conv_id").cast("string").alias("session"), F.lit(None).cast("string").alias("workspace"), F.expr("cast(null as map<string,string>)").alias("metadata"))
+    captures = c.select((F.lit(V.CONVERSATIONS_FROM) + 1000 * F.col("conv_id") + F.col("turn")).alias("id"), F.lit("conversation").alias("kind"), source.alias("source"), F.timestamp_micros(F.col("turn")).alias("captured_at"), F.col("role").alias("title"), "text", (F.col("conv_id") % 4).alias("rank"))
+    return packs.build_pack(docs.join(more, "id"), *rest, captures, QUERY, "personal", session="1", limit=20)
