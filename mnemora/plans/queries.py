@@ -9,7 +9,7 @@ from mnemora.functions import labels as L
 from mnemora.functions import text as T
 from mnemora.operators import context as C
 from mnemora.operators import folds, graph, search
-from mnemora.operators.ordered import with_sum_before
+from mnemora.operators.ordered import numbered
 from mnemora.sources import views as V
 from mnemora.sources.views import table, with_views
 
@@ -215,9 +215,8 @@ def _layers(s: SparkSession, d: str) -> dict[str, DataFrame]:
         return df.select(F.col("pos").cast("long").alias("pos"), F.lit(kind).alias("source_kind"), F.col("id").alias("source_id"), "title", "snippet")
 
     def placed(df: DataFrame, kind: str, order) -> DataFrame:
-        """All items, numbered by a whole-number order, span by span."""
-        counted = with_sum_before(df.withColumn("__by", order).withColumn("__one", F.lit(1).cast("long")), [], "__by", "__one", "__before")
-        return named(counted.withColumn("pos", F.col("__before") + 1), kind)
+        """All items, numbered by their order from one deal by ranges."""
+        return named(numbered(df.withColumn("__by", order), [], ["__by"], "__before").withColumn("pos", F.col("__before") + 1), kind)
 
     core = L.authorized(table(s, d, "documents").where("source = 'src0'").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("rank"), F.col("source").alias("title"), F.col("text").alias("snippet")), "personal")
     said = table(s, d, "conversations").where("conv_id = 1").select((F.lit(V.CONVERSATIONS_FROM) + 1000 * F.col("conv_id") + F.col("turn")).alias("id"), F.col("role").alias("title"), F.col("text").alias("snippet"))
