@@ -2,13 +2,14 @@
 
 `faults(schema, value)` gives an array of "path: keyword" texts in the order of paths; an empty array is a record that conforms. The
 compiler knows the keywords that record schemas of a store use (draft 2020-12) and refuses a schema with any other, or with a
-reference to itself, so that no rule is silently left out. Values are read by path from the record or from an array's element, so
-the expression grows with the schema and not with its nesting.
+reference to itself, so that no rule is silently left out. The record is parsed once and each value below it is read once, with its
+type: a place is the variable of a lambda, so the rules of a place share its value and nothing above it is computed again.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -23,28 +24,35 @@ NONE = "cast(array() as array<string>)"
 
 @dataclass(frozen=True)
 class _At:
-    """A place in a record: a path below a variant, and the text that names it in faults."""
+    """A place in a record: its variant and the variant's type, both computed, and the text that names it in faults."""
 
-    root: Column
-    path: str
+    value: Column
+    kind: Column
     shown: Column
 
-    def below(self, key: str) -> _At:
-        return _At(self.root, f"{self.path}['{key}']", F.concat(self.shown, F.lit(f".{key}")))
+    def held(self, key: str) -> Column:
+        """The variant below a key; null where there is no such key."""
+        return F.try_variant_get(self.value, f"$['{key}']", "variant")
 
     def as_(self, kind: str) -> Column:
-        return F.try_variant_get(self.root, self.path, kind)
+        return F.try_variant_get(self.value, "$", kind)
 
     def is_(self, kind: str) -> Column:
         if kind == "integer":
             n = self.as_("double")
             return self.is_("number") & (n == F.floor(n))
-        return F.coalesce(F.schema_of_variant(self.as_("variant")).rlike(_TYPES[kind]), F.lit(False))
+        return F.coalesce(self.kind.rlike(_TYPES[kind]), F.lit(False))
 
     def keys(self) -> Column:
         return F.map_keys(self.as_("map<string,variant>"))
 
 
+def _bound(value: Column, shown: Column, found: Callable[[_At], Column]) -> Column:
+    """What is found at the place of a value, which is computed once however often the rules read it."""
+    held = F.transform(F.array(value), lambda v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind")))
+    return F.get(F.transform(held, lambda x: found(_At(x["value"], x["kind"], shown))), F.lit(0))
+
+
 def _none() -> Column:
     return F.expr(NONE)
 
@@ -65,8 +73,12 @@ def _equals(at: _At, value) -> Column:
     raise ValueError(f"not a scalar: {value!r}")
 
 
+def _has_path(key: str) -> bool:
+    return "'" not in key and "\\" not in key
+
+
 def _path_key(key: str) -> str:
-    if "'" in key or "\\" in key:
+    if not _has_path(key):
         raise ValueError(f"cannot be read by path: {key!r}")
     return key
 
@@ -147,15 +159,22 @@ class _Compiler:
         return _none() if good is None else self._of(s, at, "format", "string", lambda _: ~F.coalesce(good(at.as_("string")), F.lit(False)))
 
     def rule_required(self, s, at):
-        missing = F.array_except(F.array(*map(F.lit, s["required"])), at.keys()) if s["required"] else _none()
-        named = F.transform(missing, lambda k: F.concat(at.shown, F.lit(": required "), k))
-        return F.when(at.is_("object"), named).otherwise(_none())
+        by_path = [k for k in s["required"] if _has_path(k)]
+        missing = [F.when(at.held(k).isNull(), F.lit(k)) for k in by_path]
+        named = F.array_compact(F.array(*missing)) if missing else _none()
+        if rest := [k for k in s["required"] if not _has_path(k)]:
+            named = F.concat(named, F.array_except(F.array(*map(F.lit, rest)), at.keys()))
+        return F.when(at.is_("object"), F.transform(named, lambda k: F.concat(at.shown, F.lit(": required "), k))).otherwise(_none())
 
     def rule_minProperties(self, s, at):
         return self._of(s, at, "minProperties", "object", lambda n: F.size(at.keys()) < n)
 
     def rule_properties(self, s, at):
-        parts = [F.when(F.array_contains(at.keys(), k), self.node(sub, at.below(_path_key(k)))).otherwise(_none()) for k, sub in s["properties"].items()]
+        def of(k: str, sub) -> Column:
+            shown = F.concat(at.shown, F.lit(f".{k}"))
+            return _bound(at.held(_path_key(k)), shown, lambda x: F.when(x.value.isNotNull(), self.node(sub, x)).otherwise(_none()))
+
+        parts = [of(k, sub) for k, sub in s["properties"].items() if sub is not True and sub != {}]
         return F.when(at.is_("object"), F.concat(*parts) if parts else _none()).otherwise(_none())
 
     def rule_additionalProperties(self, s, at):
@@ -166,11 +185,11 @@ class _Compiler:
         if sub is False:
             return F.when(at.is_("object"), F.transform(rest, lambda k: F.concat(at.shown, F.lit(": additionalProperties "), k))).otherwise(_none())
         held = at.as_("map<string,variant>")
-        each = F.transform(rest, lambda k: self.node(sub, _At(F.element_at(held, k), "$", F.concat(at.shown, F.lit("."), k))))
+        each = F.transform(rest, lambda k: _bound(F.element_at(held, k), F.concat(at.shown, F.lit("."), k), lambda x: self.node(sub, x)))
         return F.when(at.is_("object"), F.flatten(each)).otherwise(_none())
 
     def rule_items(self, s, at):
-        each = F.transform(at.as_("array<variant>"), lambda x, i: self.node(s["items"], _At(x, "$", F.concat(at.shown, F.lit("."), i.cast("string")))))
+        each = F.transform(at.as_("array<variant>"), lambda x, i: _bound(x, F.concat(at.shown, F.lit("."), i.cast("string")), lambda one: self.node(s["items"], one)))
         return F.when(at.is_("array"), F.flatten(each)).otherwise(_none())
 
     def rule_minItems(self, s, at):
@@ -211,11 +230,9 @@ class _Compiler:
 def faults(schema: dict | bool | str, value: Column) -> Column:
     """All faults of a VARIANT value, sorted and each once; null where the value is null."""
     schema = json.loads(schema) if isinstance(schema, str) else schema
-    found = _Compiler(schema).node(schema, _At(value, "$", F.lit("$")))
-    return F.when(value.isNotNull(), F.array_sort(F.array_distinct(found)))
+    return _bound(value, F.lit("$"), lambda at: F.when(at.value.isNotNull(), F.array_sort(F.array_distinct(_Compiler(schema).node(schema, at)))))
 
 
 def json_faults(schema: dict | bool | str, text: Column) -> Column:
     """All faults of a JSON text; a text that is no JSON has the one fault of the whole."""
-    value = F.try_parse_json(text)
-    return F.coalesce(faults(schema, value), F.array(F.lit("$: json")))
+    return F.coalesce(faults(schema, F.try_parse_json(text)), F.array(F.lit("$: json")))

@@ -111,3 +111,19 @@ def test_texts_that_are_no_json_and_schemas_that_cannot_be_compiled(spark):
     for bad in ({"contains": 1}, {"$ref": "#/$defs/a", "$defs": {"a": {"items": {"$ref": "#/$defs/a"}}}}, {"$ref": "other.json"}, {"const": [1]}):
         with pytest.raises(ValueError):
             faults(bad, F.col("v"))
+
+
+def test_a_record_is_parsed_once_and_places_are_read_once(spark):
+    """The plan of a record made from other columns holds its text once, whatever the schema asks of it."""
+    df = spark.createDataFrame([(1, "b")], "id long, kind string")
+    record = F.concat(F.lit('{"id": "00ff-7", "list": ["00ff-7"], "kind": "'), F.col("kind"), F.lit('"}'))
+    out = df.select(json_faults(SCHEMA, record).alias("f"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count('{"id": "00ff-7"') <= 1
+    assert out.first().f == ["$: required map"]
+
+
+def test_required_keys_that_no_path_names(spark):
+    df = spark.createDataFrame([('{"it\'s": 1, "a.b": null}',), ("{}",), ("[]",)], "t string")
+    got = [r[0] for r in df.select(json_faults({"required": ["it's", "a.b"]}, F.col("t"))).collect()]
+    assert got == [[], ["$: required a.b", "$: required it's"], []]
