@@ -366,3 +366,13 @@ def test_keys_of_several_columns_and_restores(spark):
     gone = spark.createDataFrame([("t", 2, "a", 1), ("t", 3, "b", 2), ("t", 4, "c", 0), ("t", 5, "d", 0), ("u", 2, "a", 0), ("v", 3, "a", 0), ("v", 30, "late", 0)], schema)
     back = spark.createDataFrame([("t", 10, "a", 1), ("t", 11, "b", 1), ("t", 12, "x", 0), ("v", 4, "a", 0)], schema)
     assert sorted((r.target, r.n, r.problem) for r in folds.unrestored(steps, gone, back).collect()) == [("t", 2, "labelled lower"), ("t", 3, "restored out of order"), ("t", 4, "not restored")]
+
+
+def test_chain_parts_are_cut_by_rows(spark, monkeypatch):
+    rows = [(i, str(i), str(i - 1) if i > 1 else None) for i in range(1, 101) if i != 50] + [(7, "7", "6"), (99, "x", "98")]
+    log = spark.createDataFrame(rows, "seq long, id string, prev_id string")
+    whole = sorted(map(tuple, folds.chain_faults(log).collect()))
+    monkeypatch.setattr(folds, "CHAIN_ROWS", 10)
+    cut = folds.chain_faults(log)
+    assert "hashpartitioning(seq#" in (plan := cut._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, cut.collect())) == whole and {f for _, f in whole} >= {"repeated sequence", "repeated id", "gap"}
