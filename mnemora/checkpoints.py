@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """What is written meanwhile leaves no shuffle files: they go as a write ends, not as the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have, in any case of letters."""
     taken, name = {c.lower() for c in df.columns}, f"__{base}"
